@@ -6,7 +6,7 @@ import importlib
 
 from trailmesh.catalog.registry import ORACLES, QUERIES
 
-MODULES = ["cleaning"]
+MODULES = ["cleaning", "cells", "stats"]
 
 
 def load() -> None:

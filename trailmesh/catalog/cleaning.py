@@ -130,10 +130,10 @@ FROM pts p LEFT JOIN steps s ON s.session_id = p.session_id AND s.step_no = p.po
 @query("win5_route_chunks", """
 SELECT owner_id, session_id, run_no, chunk_no, count(*) AS vertices, min(point_index) AS first_index,
        max(point_index) AS last_index
-FROM (SELECT *, unnest(CASE WHEN at % 255 = 0 AND at > 0 AND at = n - 1 THEN [at // 255 - 1]
-                            WHEN at % 255 = 0 AND at > 0 THEN [at // 255 - 1, at // 255]
-                            ELSE [at // 255] END) AS chunk_no
-      FROM (SELECT *, row_number() OVER (PARTITION BY session_id, run_no ORDER BY point_index) - 1 AS at,
+FROM (SELECT *, unnest(CASE WHEN pos % 255 = 0 AND pos > 0 AND pos = n - 1 THEN [pos // 255 - 1]
+                            WHEN pos % 255 = 0 AND pos > 0 THEN [pos // 255 - 1, pos // 255]
+                            ELSE [pos // 255] END) AS chunk_no
+      FROM (SELECT *, row_number() OVER (PARTITION BY session_id, run_no ORDER BY point_index) - 1 AS pos,
                    count(*) OVER (PARTITION BY session_id, run_no) AS n FROM runs) WHERE n > 1)
 GROUP BY owner_id, session_id, run_no, chunk_no""", RUNS)
 def _(d):

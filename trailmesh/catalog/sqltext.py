@@ -222,3 +222,74 @@ SELECT s_suppkey AS medal_id,
        (45750000 + CAST(floor((s_suppkey % 150) / 25.0) AS BIGINT) * 1500 + 500) / 1e6 AS lat,
        (4800000 + ((s_suppkey % 150) % 25) * 2200 + 715) / 1e6 AS lon
 FROM supplier"""
+
+
+def raster(source: str, keep: str, a_lat: str = "p_lat", a_lon: str = "p_lon", b_lat: str = "lat", b_lon: str = "lon") -> str:
+    """Distinct (keep, cell_x, cell_y) of the lines in ``source``."""
+    return f"""
+SELECT DISTINCT {keep}, cx AS cell_x, cy AS cell_y FROM (
+  SELECT {keep}, sx, sy, CAST(floor(sx / 15) AS INT) + ox AS cx, CAST(floor(sy / 15) AS INT) + oy AS cy FROM (
+    SELECT {keep}, ax + (bx - ax) * (i / n) AS sx, ay + (b_y - ay) * (i / n) AS sy
+    FROM (SELECT *, greatest(1, CAST(ceil({{hyp:bx - ax|b_y - ay}} / 3.75) AS INT)) AS n FROM (
+            SELECT {keep}, {{mercx:{a_lon}}} AS ax, {{mercy:{a_lat}}} AS ay, {{mercx:{b_lon}}} AS bx,
+                   {{mercy:{b_lat}}} AS b_y FROM {source})) m,
+         LATERAL (SELECT unnest(range(0, n + 1)) AS i)) s, offs)
+WHERE {{hyp:cx * 15 + 7.5 - sx|cy * 15 + 7.5 - sy}} <= 15 / sqrt(2.0)"""
+
+
+CTES["recs"] = """
+SELECT s.*, coalesce(l.distance_m, 0) AS distance_m, coalesce(l.points, 0) AS points, s.end_s - s.start_s AS duration_s
+FROM sess s LEFT JOIN lens l ON l.session_id = s.session_id"""
+
+CTES["final_recs"] = """
+SELECT * FROM recs WHERE end_s > start_s AND session_id NOT IN (SELECT session_id FROM discards)"""
+
+# Route lines: confirmed steps, and short gaps as inferred ones of changing confidence.
+CTES["lines"] = """
+SELECT owner_id, session_id, step_no, p_lat, p_lon, lat, lon,
+       CASE WHEN reason IS NULL THEN 'confirmed' ELSE 'inferred' END AS type,
+       CASE WHEN reason IS NULL THEN NULL WHEN step_no % 3 = 0 THEN 'low' WHEN step_no % 3 = 1 THEN 'medium'
+            ELSE 'high' END AS confidence
+FROM steps WHERE reason IS NULL OR d < 60"""
+
+CTES["line_marks"] = """
+SELECT *, CASE WHEN type = 'inferred' THEN 2 ELSE 1 END AS src FROM lines
+WHERE type = 'confirmed' OR confidence IN ('high', 'medium')"""
+
+CTES["line_cells"] = raster("line_marks", "owner_id, session_id, src")
+
+CTES["scells"] = """
+SELECT owner_id, session_id, cell_x, cell_y, CASE WHEN min(src) = 1 THEN 'gps' ELSE 'inferred' END AS source
+FROM line_cells GROUP BY owner_id, session_id, cell_x, cell_y"""
+
+# Enclosed cells per owner: what an 8-connected flood from outside cannot reach.
+CTES["obox"] = """
+SELECT owner_id, min(cell_x) - 1 AS x0, max(cell_x) + 1 AS x1, min(cell_y) - 1 AS y0, max(cell_y) + 1 AS y1
+FROM ocells GROUP BY owner_id"""
+
+CTES["oempty"] = """
+SELECT b.owner_id, x.x, y.y FROM obox b, LATERAL (SELECT unnest(range(x0, x1 + 1)) AS x) x,
+     LATERAL (SELECT unnest(range(y0, y1 + 1)) AS y) y
+WHERE NOT EXISTS (SELECT 1 FROM ocells c WHERE c.owner_id = b.owner_id AND c.cell_x = x.x AND c.cell_y = y.y)"""
+
+CTES["oout"] = """
+SELECT owner_id, x0 AS x, y0 AS y FROM obox
+UNION
+SELECT e.owner_id, e.x, e.y FROM oout f JOIN offs o ON true
+JOIN oempty e ON e.owner_id = f.owner_id AND e.x = f.x + o.ox AND e.y = f.y + o.oy"""
+
+CTES["oholes"] = """
+SELECT owner_id, x, y FROM oempty EXCEPT SELECT owner_id, x, y FROM oout"""
+
+CTES["oholes_seed"] = """
+SELECT owner_id, x, y, x AS sx, y AS sy FROM oholes
+UNION
+SELECT h.owner_id, h.x, h.y, f.sx, f.sy FROM oholes_seed f JOIN offs o ON true
+JOIN oholes h ON h.owner_id = f.owner_id AND h.x = f.x + o.ox AND h.y = f.y + o.oy"""
+
+CTES["oholes_grp"] = """
+SELECT owner_id, x, y, min(CAST(sx AS BIGINT) * 10000000 + sy) AS g FROM oholes_seed GROUP BY owner_id, x, y"""
+
+CTES["ofill"] = """
+SELECT owner_id, x AS cell_x, y AS cell_y FROM oholes_grp
+WHERE (owner_id, g) IN (SELECT (owner_id, g) FROM oholes_grp GROUP BY owner_id, g HAVING count(*) <= 666)"""

@@ -97,6 +97,10 @@ VERDICT_FIELDS = [
 ]
 
 
+# A recording with more fixes than this (over five days at one per second) is folded in slices.
+LONG_RECORDING = 500_000
+
+
 def _metres(lat1, lon1, lat2, lon2):
     """Vector and scalar haversine used inside the fold."""
     a = (
@@ -179,24 +183,25 @@ def _fold(rows: DataFrame, keys: Sequence[str], seeds: DataFrame | None = None)
 
 
 def accept_fixes(
-    observations: DataFrame, keys: Sequence[str] = RECORDING, slice_seconds: int = 6 * 3600
+    observations: DataFrame, keys: Sequence[str] = RECORDING, slice_seconds: int = 3600, long_from: int = LONG_RECORDING
 ) -> DataFrame:
     """Verdict for every observation: compare it with the last accepted fix of its recording.
 
-    The fold depends on the last accepted row only. Long recordings are cut into time
-    slices that are folded in parallel, each as if it came first. A slice is right
-    when the true fix before it leads to the same first point; the others are folded
-    again from that fix, until none is left. Times must be unique within a recording
-    (see ``best_observations``).
+    The fold depends on the last accepted row only, and times must be unique within a
+    recording (see ``best_observations``). Recordings are folded in parallel as streams of
+    sorted rows. One with more than ``long_from`` fixes would keep a single task busy, so it
+    is cut into time slices that are folded in parallel, each as if it came first. A slice
+    is right when the true fix before it leads to the same first point; the others are
+    folded again from that fix, until none is left.
     """
-    rows = observations.withColumn(SLICE, time_slice("ts", slice_seconds))
-    spans = rows.groupBy(*keys).agg(F.min(SLICE).alias("_first"), F.max(SLICE).alias("_last"))
-    long = spans.filter("_first < _last").select(*keys)
+    whole = observations.withColumn(SLICE, F.lit(0).cast("long"))
+    long = observations.groupBy(*keys).count().filter(F.col("count") > long_from).select(*keys)
     if long.isEmpty():
-        return _fold(rows, keys).drop(SLICE)
+        return _fold(whole, keys).drop(SLICE)
+    rows = observations.withColumn(SLICE, time_slice("ts", slice_seconds))
     groups = [*keys, SLICE]
     long = checkpointed(long)
-    short_rows = _fold(rows.join(long, list(keys), "left_anti"), keys)
+    short_rows = _fold(whole.join(long, list(keys), "left_anti"), keys)
     long_rows = rows.join(long, list(keys), "left_semi")
     done = checkpointed(
         _fold(long_rows, keys).withColumn("seed_ts", F.lit(None).cast("timestamp"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trailmesh.session import checkpointed
 
+# Edge lists up to this size are joined up in one task instead of in rounds of shuffles.
+SMALL_EDGES = 200_000
+
 
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(
@@ -17,10 +22,31 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def component_roots(edges: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b") -> DataFrame:
+def _union_in_one_task(keys: Sequence[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict[tuple, tuple] = {}
+
+        def find(n: tuple) -> tuple:
+            while parent.setdefault(n, n) != n:
+                parent[n] = parent[parent[n]]
+                n = parent[n]
+            return n
+
+        for batch in batches:
+            for *key, u, v in batch.itertuples(index=False, name=None):
+                a, b = find((*key, u)), find((*key, v))
+                parent[max(a, b)] = min(a, b)
+        if parent:
+            yield pd.DataFrame([(*n, find(n)[-1]) for n in list(parent)], columns=[*keys, "node", "root"])
+
+    return run
+
+
+def component_roots(edges: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b",
+                    small: int = SMALL_EDGES) -> DataFrame:
     """(keys, node, root) for every node on an edge; the root is the smallest node reached.
 
-    Each round hangs neighbours under the smallest node they see (large stars, then small
+    A counted, small edge list is settled in one task. Beyond that each round hangs neighbours under the smallest node they see (large stars, then small
     stars), which settles in a number of rounds logarithmic in the longest path. Only a
     count and a checksum come to the driver.
     """
@@ -28,9 +54,11 @@ def component_roots(edges: DataFrame, keys: Sequence[str], a: str = "a", b: str
     current = checkpointed(
         edges.select(*keys, F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     )
-    if current.isEmpty():
-        return current.select(*keys, F.col("u").alias("node"), F.col("v").alias("root"))
     seen = _fingerprint(current)
+    if seen[0] <= small:
+        schema = T.StructType([*[current.schema[k] for k in keys], T.StructField("node", current.schema["u"].dataType),
+                               T.StructField("root", current.schema["v"].dataType)])
+        return current.coalesce(1).mapInPandas(_union_in_one_task(keys), schema)
     while True:
         both = current.unionByName(current.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy(*keys, "u").agg(F.min("v").alias("_m"))

@@ -66,6 +66,7 @@ def hole_sizes(holes: DataFrame, walked: DataFrame, keys: Sequence[str]) -> Data
 def fillable_cells(cells: DataFrame, keys: Sequence[str], max_cells: int = K.MAX_LOOP_CELLS) -> DataFrame:
     """Unwalked cells inside hole contours that hold at most ``max_cells`` of them."""
     keys = list(keys)
+    cells = checkpointed(cells.select(*keys, *CELL).distinct())
     walked = components(cells, keys)
     holes = exact_hole_runs(walked, keys)
     sizes = hole_sizes(holes, walked, keys).filter(F.col("cells") <= max_cells)
@@ -140,7 +141,7 @@ def loop_groups(cells: DataFrame, keys: Sequence[str], strict: bool = False) ->
     whole. ``strict`` leaves tolerant groups out.
     """
     keys = list(keys)
-    cells = cells.select(*keys, *CELL).distinct()
+    cells = checkpointed(cells.select(*keys, *CELL).distinct())
     walked = components(cells, keys)
     holes = exact_hole_runs(walked, keys)
     sizes = checkpointed(hole_sizes(holes, walked, keys).drop("contour_cells"))

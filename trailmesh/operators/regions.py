@@ -140,8 +140,6 @@ def label_runs(runs: DataFrame, keys: Sequence[str], diagonal: bool) -> DataFram
         top.join(bottom, [*keys, "y", "tx"]).filter("x0 <= _hi AND x1 >= _lo").select(*keys, "a", "b")
     )
     roots = component_roots(meets, keys)
-    if roots.isEmpty():
-        return labelled.drop("tx", "ty")
     merged = labelled.join(roots.withColumnRenamed("node", "label"), [*keys, "label"], "left")
     return merged.select(*keys, "y", "x0", "x1", F.coalesce("root", "label").alias("label"))
 
