@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trailmesh.operators import clean, paths
 from trailmesh.operators.ordered import with_running
+from trailmesh.session import checkpointed
 
 
 def _side(k, at_side) -> F.Column:
@@ -50,11 +51,13 @@ class Data:
 
     @cached_property
     def verdicts(self) -> DataFrame:
-        return clean.accept_fixes(clean.best_observations(self.observations.filter(clean.is_valid_fix())))
+        cleaned = clean.best_observations(self.observations.filter(clean.is_valid_fix()))
+        return clean.accept_fixes(checkpointed(cleaned))
 
     @cached_property
     def points(self) -> DataFrame:
-        return clean.accepted_points(self.verdicts)
+        """The accepted points, written once: most jobs read them in more than one branch."""
+        return checkpointed(clean.accepted_points(self.verdicts))
 
     @cached_property
     def steps(self) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from trailmesh import constants as K
 from trailmesh.functions.geo import haversine_m
-from trailmesh.operators.ordered import SLICE, time_slice, with_running
+from trailmesh.operators.ordered import SLICE, time_slice
 from trailmesh.session import checkpointed, epoch_seconds
 
 RECORDING = ("owner_id", "session_id")
@@ -94,6 +94,7 @@ VERDICT_FIELDS = [
     T.StructField("accepted", T.BooleanType()),
     T.StructField("verdict", T.StringType()),
     T.StructField("speed_mps", T.DoubleType()),
+    T.StructField("slice_index", T.LongType()),
 ]
 
 
@@ -123,7 +124,7 @@ def _fold_batches(keys: Sequence[str]):
     """Walk sorted rows once, carrying only the last accepted fix of the current group."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, last = None, None
+        current, last, count = None, None, 0
         for batch in batches:
             n = len(batch)
             if n == 0:
@@ -136,11 +137,11 @@ def _fold_batches(keys: Sequence[str]):
             # Distance to the row before; right whenever that row was the last accepted one.
             step_m = np.zeros(n)
             step_m[1:] = _metres(lat[:-1], lon[:-1], lat[1:], lon[1:])
-            verdicts, speeds, accepted = [None] * n, [0.0] * n, [False] * n
+            verdicts, speeds, accepted, index = [None] * n, [0.0] * n, [False] * n, [-1] * n
             last_row = -1
             for i in range(n):
                 if group[i] != current:
-                    current, last, last_row = group[i], None, -1
+                    current, last, last_row, count = group[i], None, -1, 0
                 if seed[i]:
                     last, last_row = (lat[i], lon[i], sec[i]), i
                     continue
@@ -156,10 +157,11 @@ def _fold_batches(keys: Sequence[str]):
                     if verdicts[i] in ("accepted", "jump"):
                         speeds[i] = float(metres / apart)
                 if verdicts[i] == "accepted":
-                    accepted[i] = True
+                    accepted[i], index[i] = True, count
+                    count += 1
                     last, last_row = (lat[i], lon[i], sec[i]), i
             out = batch.drop(columns=["_sec", "_seed"])
-            out["accepted"], out["verdict"], out["speed_mps"] = accepted, verdicts, speeds
+            out["accepted"], out["verdict"], out["speed_mps"], out["slice_index"] = accepted, verdicts, speeds, index
             yield out[~seed]
 
     return fold
@@ -193,11 +195,13 @@ def accept_fixes(
     is cut into time slices that are folded in parallel, each as if it came first. A slice
     is right when the true fix before it leads to the same first point; the others are
     folded again from that fix, until none is left.
+
+    ``point_index`` numbers the accepted fixes of a recording from 0.
     """
     whole = observations.withColumn(SLICE, F.lit(0).cast("long"))
     long = observations.groupBy(*keys).count().filter(F.col("count") > long_from).select(*keys)
     if long.isEmpty():
-        return _fold(whole, keys).drop(SLICE)
+        return _fold(whole, keys).drop(SLICE).withColumnRenamed("slice_index", "point_index")
     rows = observations.withColumn(SLICE, time_slice("ts", slice_seconds))
     groups = [*keys, SLICE]
     long = checkpointed(long)
@@ -236,19 +240,23 @@ def accept_fixes(
         seeded = stale.filter(F.col("seed_ts").isNotNull())
         again = _fold(redo, keys, seeded).join(stale.select(*groups, "seed_ts"), groups)
         done = checkpointed(done.join(stale.select(*groups), groups, "left_anti").unionByName(again))
-    return short_rows.unionByName(done.drop("seed_ts")).drop(SLICE)
+    counted = done.groupBy(*groups).agg(F.count_if("accepted").alias("_n"))
+    offsets = counted.select(*groups, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = done.drop("seed_ts").join(offsets, groups).withColumn(
+        "slice_index", F.when(F.col("accepted"), F.col("slice_index") + F.col("_before")).otherwise(-1)
+    ).drop("_before")
+    return short_rows.unionByName(numbered).drop(SLICE).withColumnRenamed("slice_index", "point_index")
 
 
-def accepted_points(verdicts: DataFrame, keys: Sequence[str] = RECORDING) -> DataFrame:
-    """Accepted fixes numbered from 0 within their recording."""
-    kept = verdicts.filter("accepted").drop("accepted", "verdict")
-    return with_running(kept, keys, "ts", time_slice(), index="point_index")
+def accepted_points(verdicts: DataFrame) -> DataFrame:
+    """Accepted fixes, which the fold has numbered within their recording."""
+    return verdicts.filter("accepted").drop("accepted", "verdict")
 
 
 def canonical_points(observations: DataFrame, keys: Sequence[str] = RECORDING) -> DataFrame:
     """Raw observations to the numbered accepted points of every recording."""
     valid = observations.filter(is_valid_fix())
-    return accepted_points(accept_fixes(best_observations(valid, keys), keys), keys)
+    return accepted_points(accept_fixes(best_observations(valid, keys), keys))
 
 
 def verdict_message(verdict: str = "verdict", accuracy: str = "accuracy", speed: str = "speed_mps") -> Column:
