@@ -49,7 +49,7 @@ def _(d):
 
 
 @query("agg13_zone_totals", """
-SELECT b.id AS zone_id, b.box AS box_cells, CASE WHEN b.box <= 20000 OR b.box <= 350000 THEN t.total END AS total_cells
+SELECT b.id AS zone_id, b.box AS box_cells, CASE WHEN b.box <= 350000 THEN t.total END AS total_cells
 FROM zbox b JOIN ztot t ON t.id = b.id""", ZCTE)
 def _(d):
     return zones.zone_totals(d.zones)
@@ -88,7 +88,7 @@ def small_zones(d):
     box = d.medals.select(
         F.concat(F.lit("relation/m"), F.col("medal_id").cast("string")).alias("id"), "lat", "lon", "medal_id")
     corner = lambda dy, dx: F.struct((F.col("lat") + dy).alias("lat"), (F.col("lon") + dx).alias("lon"))
-    ring = F.array(corner(-0.00065, -0.00075), corner(-0.00065, -0.0005), corner(-0.0003, -0.0005), corner(-0.0003, -0.00075))
+    ring = F.array(corner(-0.00053, -0.0005), corner(-0.00053, 0.0005), corner(-0.00047, 0.0005), corner(-0.00047, -0.0005))
     return box.select(
         "id", F.lit("district").alias("type"), F.concat(F.lit("District "), F.col("medal_id").cast("string")).alias("name"),
         F.lit(None).cast("string").alias("parent_zone_id"), F.lit(9).alias("admin_level"), F.lit("openstreetmap").alias("source"),
@@ -99,8 +99,8 @@ def small_zones(d):
 SMALL = {
     **ZCTE,
     "zones": """
-SELECT concat('relation/m', CAST(medal_id AS VARCHAR)) AS id, lat + -0.00065 AS min_lat, lat + -0.0003 AS max_lat,
-       lon + -0.00075 AS min_lon, lon + -0.0005 AS max_lon, 9 AS admin_level FROM medal""",
+SELECT concat('relation/m', CAST(medal_id AS VARCHAR)) AS id, lat + -0.00053 AS min_lat, lat + -0.00047 AS max_lat,
+       lon + -0.0005 AS min_lon, lon + 0.0005 AS max_lon, 9 AS admin_level FROM medal""",
 }
 
 
@@ -206,7 +206,7 @@ def _(d):
 
 
 @query("set6_upsert_zones", """
-SELECT id, CASE WHEN k % 2 = 0 THEN 'openstreetmap' ELSE 'openstreetmap' END AS source,
+SELECT id, 'openstreetmap' AS source,
        CASE WHEN k % 2 = 1 THEN concat('New ', name) ELSE name END AS name FROM zones""", ZCTE)
 def _(d):
     """Even zones receive a fallback, which must not replace them; odd ones a new exact polygon."""

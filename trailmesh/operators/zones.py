@@ -134,12 +134,13 @@ def points_in_zones(points: DataFrame, zones: DataFrame, point_id: Sequence[str]
         "*", near_bucket("lat", degrees).alias("_ty"), near_bucket("lon", degrees).alias("_tx"))
     near = spots.join(tiles, ["_ty", "_tx"]).filter(
         "lat BETWEEN min_lat AND max_lat AND lon BETWEEN min_lon AND max_lon").select(*ids, "lat", "lon", "zone_id", "_ty")
-    banded = zone_edges(zones).filter("a_lat <> b_lat").withColumn("_ty", F.explode(F.sequence(
+    banded = zone_edges(zones).filter("a_lat <> b_lat").withColumnsRenamed(
+        {"role": "_role", "ring_no": "_ring"}).withColumn("_ty", F.explode(F.sequence(
         near_bucket(F.least("a_lat", "b_lat"), degrees), near_bucket(F.greatest("a_lat", "b_lat"), degrees))))
     hits = near.join(banded, ["zone_id", "_ty"]).filter(
         crosses_ray("lat", "lon", "b_lat", "b_lon", "a_lat", "a_lon"))
-    odd = hits.groupBy(*ids, "zone_id", "role", "ring_no").agg(F.count(F.lit(1)).alias("_n")).filter("_n % 2 = 1")
-    return odd.groupBy(*ids, "zone_id").agg(F.max("role").alias("_hole"), F.min("role").alias("_outer")).filter(
+    odd = hits.groupBy(*ids, "zone_id", "_role", "_ring").agg(F.count(F.lit(1)).alias("_n")).filter("_n % 2 = 1")
+    return odd.groupBy(*ids, "zone_id").agg(F.max("_role").alias("_hole"), F.min("_role").alias("_outer")).filter(
         "_outer = 0 AND _hole = 0").select(*ids, "zone_id")
 
 
@@ -199,7 +200,8 @@ def progress_delta(before: DataFrame, after: DataFrame, keys: Sequence[str] = ("
         *keys,
         (F.coalesce("a_cells", F.lit(0)) - F.coalesce("b_cells", F.lit(0))).alias("cells"),
         (F.floor((F.col("a_percent") - F.col("b_percent")) * 10 + 0.5) / 10).alias("percent"),
-        F.when(F.coalesce("a_done", F.lit(False)), F.lit(0)).otherwise(
+        F.when(F.coalesce("a_done", F.lit(False)), F.lit(0)).when(
+            F.col("a_total").isNotNull(),
             F.greatest(F.lit(0), F.col("a_total") - F.col("a_cells"))).alias("remaining_cells"))
 
 
