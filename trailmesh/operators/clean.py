@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -111,16 +112,33 @@ def _metres(lat1, lon1, lat2, lon2):
     return 2 * K.HAVERSINE_RADIUS_M * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
 
 
-def judge(distance: float, seconds: float) -> str:
-    """Verdict on a usable fix against the last accepted one."""
-    if seconds < 0 or (seconds == 0 and distance > 1):
-        return "stale"
-    if seconds == 0 or distance < K.MIN_STEP_M:
-        return "still"
-    return "jump" if distance / seconds > K.MAX_SPEED_MPS else "accepted"
+@dataclass(frozen=True)
+class FoldRule:
+    """What a fix must be, on its own and against the last accepted one."""
 
+    max_accuracy: float | None
+    min_step_m: float
+    max_speed: float | None
 
-def _fold_batches(keys: Sequence[str]):
+    def judge(self, distance: float, seconds: float) -> str:
+        if self.max_speed is None:
+            return "accepted" if distance >= self.min_step_m else "still"
+        if seconds < 0 or (seconds == 0 and distance > 1):
+            return "stale"
+        if seconds == 0 or distance < self.min_step_m:
+            return "still"
+        return "jump" if distance / seconds > self.max_speed else "accepted"
+
+    def same_start(self, distance: Column, seconds: Column) -> Column:
+        """Would a usable fix be accepted after another one that far away?"""
+        far = distance >= self.min_step_m
+        return far if self.max_speed is None else far & (seconds > 0) & (distance / seconds <= self.max_speed)
+
+
+CANONICAL = FoldRule(K.MAX_ACCURACY_M, K.MIN_STEP_M, K.MAX_SPEED_MPS)
+
+
+def _fold_batches(keys: Sequence[str], rule: FoldRule):
     """Walk sorted rows once, carrying only the last accepted fix of the current group."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,7 +150,9 @@ def _fold_batches(keys: Sequence[str]):
             group = list(zip(*[batch[k].tolist() for k in keys]))
             lat, lon = np.radians(batch["lat"].to_numpy()), np.radians(batch["lon"].to_numpy())
             sec = batch["_sec"].to_numpy()
-            usable = ~(batch["accuracy"].to_numpy(dtype=float, na_value=np.nan) > K.MAX_ACCURACY_M)
+            usable = np.ones(n, dtype=bool)
+            if rule.max_accuracy is not None:
+                usable = ~(batch["accuracy"].to_numpy(dtype=float, na_value=np.nan) > rule.max_accuracy)
             seed = batch["_seed"].to_numpy(dtype=bool)
             # Distance to the row before; right whenever that row was the last accepted one.
             step_m = np.zeros(n)
@@ -153,8 +173,8 @@ def _fold_batches(keys: Sequence[str]):
                 else:
                     apart = sec[i] - last[2]
                     metres = step_m[i] if last_row == i - 1 and i else _metres(last[0], last[1], lat[i], lon[i])
-                    verdicts[i] = judge(metres, apart)
-                    if verdicts[i] in ("accepted", "jump"):
+                    verdicts[i] = rule.judge(metres, apart)
+                    if verdicts[i] in ("accepted", "jump") and apart > 0:
                         speeds[i] = float(metres / apart)
                 if verdicts[i] == "accepted":
                     accepted[i], index[i] = True, count
@@ -167,7 +187,7 @@ def _fold_batches(keys: Sequence[str]):
     return fold
 
 
-def _fold(rows: DataFrame, keys: Sequence[str], seeds: DataFrame | None = None) -> DataFrame:
+def _fold(rows: DataFrame, keys: Sequence[str], rule: FoldRule, seeds: DataFrame | None = None) -> DataFrame:
     """Verdicts for rows that carry a slice; ``seeds`` hold the last accepted fix before a slice."""
     groups = [*keys, SLICE]
     plain = rows.select("*", epoch_seconds(F.col("ts")).alias("_sec"), F.lit(False).alias("_seed"))
@@ -181,11 +201,12 @@ def _fold(rows: DataFrame, keys: Sequence[str], seeds: DataFrame | None = None)
         plain = plain.unionByName(lead)
     ordered = plain.repartition(*groups).sortWithinPartitions(*groups, "_sec")
     schema = T.StructType([*rows.schema.fields, *VERDICT_FIELDS])
-    return ordered.mapInPandas(_fold_batches(groups), schema)
+    return ordered.mapInPandas(_fold_batches(groups, rule), schema)
 
 
 def accept_fixes(
-    observations: DataFrame, keys: Sequence[str] = RECORDING, slice_seconds: int = 3600, long_from: int = LONG_RECORDING
+    observations: DataFrame, keys: Sequence[str] = RECORDING, slice_seconds: int = 3600, long_from: int = LONG_RECORDING,
+    rule: FoldRule = CANONICAL,
 ) -> DataFrame:
     """Verdict for every observation: compare it with the last accepted fix of its recording.
 
@@ -201,14 +222,14 @@ def accept_fixes(
     whole = observations.withColumn(SLICE, F.lit(0).cast("long"))
     long = observations.groupBy(*keys).count().filter(F.col("count") > long_from).select(*keys)
     if long.isEmpty():
-        return _fold(whole, keys).drop(SLICE).withColumnRenamed("slice_index", "point_index")
+        return _fold(whole, keys, rule).drop(SLICE).withColumnRenamed("slice_index", "point_index")
     rows = observations.withColumn(SLICE, time_slice("ts", slice_seconds))
     groups = [*keys, SLICE]
     long = checkpointed(long)
-    short_rows = _fold(whole.join(long, list(keys), "left_anti"), keys)
+    short_rows = _fold(whole.join(long, list(keys), "left_anti"), keys, rule)
     long_rows = rows.join(long, list(keys), "left_semi")
     done = checkpointed(
-        _fold(long_rows, keys).withColumn("seed_ts", F.lit(None).cast("timestamp"))
+        _fold(long_rows, keys, rule).withColumn("seed_ts", F.lit(None).cast("timestamp"))
     )
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     while True:
@@ -226,7 +247,7 @@ def accept_fixes(
         )
         metres = haversine_m("seed_lat", "seed_lon", "head_lat", "head_lon")
         seconds = epoch_seconds(F.col("head_ts")) - epoch_seconds(F.col("seed_ts"))
-        same_start = (metres >= K.MIN_STEP_M) & (metres / seconds <= K.MAX_SPEED_MPS)
+        same_start = rule.same_start(metres, seconds)
         stale = entries.filter(
             F.col("head_ts").isNotNull()
             & F.when(F.col("used_ts").isNull(), F.col("seed_ts").isNotNull() & ~same_start).otherwise(
@@ -238,7 +259,7 @@ def accept_fixes(
             break
         redo = done.join(stale.select(*groups), groups, "left_semi").select(*rows.columns)
         seeded = stale.filter(F.col("seed_ts").isNotNull())
-        again = _fold(redo, keys, seeded).join(stale.select(*groups, "seed_ts"), groups)
+        again = _fold(redo, keys, rule, seeded).join(stale.select(*groups, "seed_ts"), groups)
         done = checkpointed(done.join(stale.select(*groups), groups, "left_anti").unionByName(again))
     counted = done.groupBy(*groups).agg(F.count_if("accepted").alias("_n"))
     offsets = counted.select(*groups, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -259,6 +280,16 @@ def canonical_points(observations: DataFrame, keys: Sequence[str] = RECORDING) -
     return accepted_points(accept_fixes(best_observations(valid, keys), keys))
 
 
+def spaced_points(points: DataFrame, spacing_m: float, keys: Sequence[str] = RECORDING, **slicing: int) -> DataFrame:
+    """Path centres: the first point, each point at least ``spacing_m`` from the last kept one, and the last."""
+    columns = points.columns
+    rule = FoldRule(None, spacing_m, None)
+    folded = accept_fixes(points.select(*keys, "ts", "lat", "lon", "accuracy"), keys, rule=rule, **slicing)
+    newest = points.groupBy(*keys).agg(F.max("ts").alias("_last"))
+    kept = folded.select(*keys, "ts", "accepted").join(newest, list(keys)).filter("accepted OR ts = _last")
+    return points.join(kept.select(*keys, "ts"), [*keys, "ts"], "left_semi").select(*columns)
+
+
 def verdict_message(verdict: str = "verdict", accuracy: str = "accuracy", speed: str = "speed_mps") -> Column:
     """The reason shown to a walker; null where a fix is dropped silently."""
     v = F.col(verdict)

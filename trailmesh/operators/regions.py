@@ -7,7 +7,7 @@ merged as a graph. Runs, not cells, keep large solid or empty areas cheap.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from trailmesh.operators.graph import component_roots
 from trailmesh.operators.grid import CELL
+from trailmesh.operators.grouped import stream_groups
 from trailmesh.session import checkpointed
 
 TILE = 1024
@@ -74,39 +75,15 @@ def _sweep(y: list[int], x0: list[int], x1: list[int], slack: int) -> list[int]:
 
 
 def _label_tiles(groups: Sequence[str], slack: int):
-    """Sweep each tile of a partition sorted by (groups, y, x0); one tile is held at a time."""
+    """Sweep each tile of a partition sorted by (groups, y, x0)."""
 
-    def flush(held: list[pd.DataFrame]) -> pd.DataFrame:
-        tile = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+    def label(tile: pd.DataFrame) -> pd.DataFrame:
         local = _sweep(tile["y"].tolist(), tile["x0"].tolist(), tile["x1"].tolist(), slack)
         tx, ty = int(tile["tx"].iloc[0]), int(tile["ty"].iloc[0])
         base = ((tx + _TILE_SHIFT // 2) * _TILE_SHIFT + ty + _TILE_SHIFT // 2) * _LOCAL_SHIFT
-        tile["label"] = [base + v for v in local]
-        return tile
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        current = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            change = (batch[groups].ne(batch[groups].shift())).any(axis=1).to_numpy().nonzero()[0]
-            starts = [0, *[c for c in change.tolist() if c > 0]]
-            ready: list[pd.DataFrame] = []
-            for k, start in enumerate(starts):
-                part = batch.iloc[start:starts[k + 1] if k + 1 < len(starts) else None]
-                name = tuple(part[groups].iloc[0].tolist())
-                if held and name != current:
-                    ready.append(flush(held))
-                    held = []
-                held.append(part)
-                current = name
-            if ready:
-                yield pd.concat(ready, ignore_index=True)
-        if held:
-            yield flush(held)
-
-    return run
+        return tile.assign(label=[base + v for v in local])
+
+    return stream_groups(groups, label)
 
 
 def label_runs(runs: DataFrame, keys: Sequence[str], diagonal: bool) -> DataFrame:
