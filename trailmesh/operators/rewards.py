@@ -111,17 +111,18 @@ def medal_evidence(cells: DataFrame, points: DataFrame, lengths: DataFrame, keys
 
 # ---------------------------------------------------------------- daily district tasks
 
-def daily_tasks(districts: DataFrame) -> DataFrame:
+def daily_tasks(districts: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Three tasks per district and date, drawn from a hash of both.
 
-    ``districts`` carry district_id, local_date, has_street and has_medal.
+    ``districts`` carry district_id, local_date, has_street and has_medal; ``carry`` names
+    more columns to keep, such as the owner.
     """
     seed = fnv1a32(F.concat_ws(":", F.col("district_id"), F.date_format("local_date", "yyyy-MM-dd")))
     # Fixed values.
     targets = F.array(F.lit(15), F.lit(20), F.lit(25))
     kinds = F.array_compact(F.array(
         F.lit("close_loop"), F.when(F.col("has_street"), "complete_street"), F.when(F.col("has_medal"), "collect_medal")))
-    drawn = districts.select("district_id", "local_date", seed.alias("_seed"), kinds.alias("_kinds"))
+    drawn = districts.select(*carry, "district_id", "local_date", seed.alias("_seed"), kinds.alias("_kinds"))
     drawn = drawn.select("*", F.get(targets, (F.col("_seed") % 3).cast("int")).alias("_cells"),
                          (F.col("_seed") % F.size("_kinds")).cast("int").alias("_from"))
     picked = F.slice(rotated_slice(F.col("_kinds"), F.col("_from"), 2), 1, F.least(F.lit(2), F.size("_kinds")))
@@ -133,7 +134,8 @@ def daily_tasks(districts: DataFrame) -> DataFrame:
     chosen = F.transform(picked, lambda k: task(k, F.lit(1)))
     extra = F.array(task(F.lit("explore_cells"), F.col("_cells") + 15))
     tasks = F.slice(F.concat(explore, chosen, extra), 1, 3)
-    return drawn.select("district_id", "local_date", F.posexplode(tasks).alias("slot", "t")).select(
+    return drawn.select(*carry, "district_id", "local_date", F.posexplode(tasks).alias("slot", "t")).select(
+        *carry,
         F.concat_ws(":", F.lit("expedition"), "district_id", F.date_format("local_date", "yyyy-MM-dd"),
                     F.col("slot").cast("string")).alias("id"),
         "district_id", "local_date", "slot", "t.kind", "t.target")
