@@ -37,30 +37,6 @@ WHERE snap <= best + 4 AND no < 6"""
 CTES["hook"] = """
 SELECT session_id, step_no, side, no, snap, ak AS node, {hav:s_lat|s_lon|lat1|lon1} AS h FROM sn
 UNION ALL SELECT session_id, step_no, side, no, snap, bk, {hav:s_lat|s_lon|lat2|lon2} FROM sn"""
-CTES["wlk"] = """
-SELECT h.session_id, h.step_no, h.no, h.node, h.snap + h.h AS dist, [h.node] AS path,
-       greatest(g.d * 2.25, g.d + 250) AS lim
-FROM hook h JOIN gapx g ON g.session_id = h.session_id AND g.step_no = h.step_no WHERE h.side = 0
-UNION ALL
-SELECT w.session_id, w.step_no, w.no, a.b, w.dist + a.len, list_append(w.path, a.b), w.lim
-FROM wlk w JOIN adj a ON a.a = w.node WHERE w.dist + a.len <= w.lim AND NOT list_contains(w.path, a.b)"""
-CTES["rts"] = """
-SELECT w.session_id, w.step_no, w.no AS sno, h.no AS eno, w.dist + h.h + h.snap AS route FROM wlk w
-JOIN hook h ON h.session_id = w.session_id AND h.step_no = w.step_no AND h.side = 1 AND h.node = w.node
-UNION ALL
-SELECT s.session_id, s.step_no, s.no, e.no, s.snap + e.snap + {hav:s.s_lat|s.s_lon|e.s_lat|e.s_lon}
-FROM sn s JOIN sn e ON e.session_id = s.session_id AND e.step_no = s.step_no AND s.side = 0 AND e.side = 1 AND e.ek = s.ek"""
-CTES["bestr"] = """
-SELECT r.*, s.snap AS s_snap, e.snap AS e_snap FROM (
-  SELECT *, row_number() OVER (PARTITION BY session_id, step_no ORDER BY round(route, 6), sno, eno) AS k FROM rts) r
-JOIN sn s ON s.session_id = r.session_id AND s.step_no = r.step_no AND s.side = 0 AND s.no = r.sno
-JOIN sn e ON e.session_id = r.session_id AND e.step_no = r.step_no AND e.side = 1 AND e.no = r.eno WHERE k = 1"""
-CTES["bridged"] = """
-SELECT g.owner_id, g.session_id, g.step_no, b.route, b.s_snap, b.e_snap, g.d, g.dt,
-       CASE WHEN b.s_snap <= 12 AND b.e_snap <= 12 AND b.route <= greatest(g.d * 1.35, g.d + 60) THEN 'high' ELSE 'medium' END AS confidence
-FROM gapx g JOIN bestr b ON b.session_id = g.session_id AND b.step_no = g.step_no
-WHERE b.route <= greatest(g.d * 2.25, g.d + 250) AND (b.route - b.s_snap - b.e_snap) / g.dt <= 4"""
-
 
 def gaps(d):
     return d.steps.filter("kind = 'gap'")
@@ -125,9 +101,7 @@ def _(d):
     return joins.agg(F.count(F.lit(1)).alias("joins"), F.round(F.sum("dist_m"), 2).alias("metres"))
 
 
-@query("joi11_bridged_gaps", """
-SELECT session_id, step_no, round(route, 3) AS route_m, round(s_snap, 3) AS start_snap_m, round(e_snap, 3) AS end_snap_m, confidence
-FROM bridged""")
+@query("joi11_bridged_gaps")
 def _(d):
     out = routing.bridge_gaps(gaps(d), d.streets, REF)
     return out.select("session_id", "step_no", F.round("route_m", 3).alias("route_m"),

@@ -75,7 +75,11 @@ def with_ctes(body: str, extra: dict[str, str]) -> str:
     need(body)
     if not order:
         return expand(body)
-    parts = ",\n".join(f"{n} AS ({known[n].strip()})" for n in order)
+    # Shared steps are computed once; a step that refers to itself is kept anyway.
+    def kept(name: str) -> str:
+        return "" if re.search(rf"\b{name}\b", known[name]) else "MATERIALIZED "
+
+    parts = ",\n".join(f"{n} AS {kept(n)}({known[n].strip()})" for n in order)
     return expand(f"WITH RECURSIVE {parts}\n{body.strip()}")
 
 

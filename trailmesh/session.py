@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,22 +27,31 @@ def build_session(app_name: str = "trailmesh", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder for written intermediate tables.
+
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the
+    master is local (tests) is a scratch folder chosen here, once per session.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through the shared checkpoint folder.
+    """Cut the lineage of ``df``: write it to the shared folder and read it back.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Only where that is
-    unset and the master is local (tests) is a scratch folder chosen here.
+    The written table survives the loss of executors, is read column by column, and its
+    size is known to the planner. (A checkpointed RDD would carry the constraints of its
+    plan along, and in a loop those grow with every round.)
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{scratch_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def in_utc(df: DataFrame) -> DataFrame:
