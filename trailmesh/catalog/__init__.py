@@ -6,7 +6,7 @@ import importlib
 
 from trailmesh.catalog.registry import ORACLES, QUERIES
 
-MODULES = ["cleaning", "cells", "stats", "streets", "zones", "routing", "rewards"]
+MODULES = ["cleaning", "cells", "stats", "streets", "zones", "routing", "rewards", "archive", "jobs"]
 
 
 def load() -> None:

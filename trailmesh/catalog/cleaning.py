@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from trailmesh.catalog.registry import query
 from trailmesh.operators import clean, paths
 
-T_S = F.unix_seconds("ts").alias("t_s")
+
+def t_s():
+    return F.unix_seconds("ts").alias("t_s")
 
 
 @query("win2_best_observations", """
@@ -17,7 +19,7 @@ SELECT session_id, t_s, observation_id, accuracy FROM (
 WHERE r = 1""")
 def _(d):
     coarse = d.observations.withColumn("ts", F.timestamp_seconds(F.unix_seconds("ts") - F.unix_seconds("ts") % 20))
-    return clean.best_observations(coarse).select("session_id", T_S, "observation_id", "accuracy")
+    return clean.best_observations(coarse).select("session_id", t_s(), "observation_id", "accuracy")
 
 
 @query("win3_merge_observations", """
@@ -35,7 +37,7 @@ def _(d):
     merged = clean.merge_observations(
         coarse.filter("observation_id % 2 = 0"), coarse.filter("observation_id % 2 = 1")
     )
-    return merged.select("session_id", T_S, "observation_id", "accuracy", "change", "requires_rebuild")
+    return merged.select("session_id", t_s(), "observation_id", "accuracy", "change", "requires_rebuild")
 
 
 @query("win4_lowest_id", """
@@ -43,7 +45,7 @@ SELECT session_id, t_s, min(observation_id) AS observation_id
 FROM (SELECT session_id, t_s - t_s % 15 AS t_s, observation_id FROM obs) GROUP BY session_id, t_s""")
 def _(d):
     coarse = d.observations.withColumn("ts", F.timestamp_seconds(F.unix_seconds("ts") - F.unix_seconds("ts") % 15))
-    return clean.first_by_id(coarse, id_column="observation_id").select("session_id", T_S, "observation_id")
+    return clean.first_by_id(coarse, id_column="observation_id").select("session_id", t_s(), "observation_id")
 
 
 @query("flt5_trustworthy_fixes", """
@@ -59,7 +61,7 @@ def _(d):
 SELECT owner_id, session_id, point_index, t_s, observation_id, round(speed, 4) AS speed_mps FROM pts""")
 def _(d):
     return d.points.select(
-        "owner_id", "session_id", "point_index", T_S, "observation_id", F.round("speed_mps", 4).alias("speed_mps")
+        "owner_id", "session_id", "point_index", t_s(), "observation_id", F.round("speed_mps", 4).alias("speed_mps")
     )
 
 
@@ -162,7 +164,7 @@ def _(d):
 SELECT session_id, point_index, t_s FROM (
   SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t_s DESC) AS r FROM pts) WHERE r <= 10""")
 def _(d):
-    return paths.live_tail(d.points, limit=10).select("session_id", "point_index", T_S)
+    return paths.live_tail(d.points, limit=10).select("session_id", "point_index", t_s())
 
 
 @query("win8_last_points", """
@@ -172,7 +174,7 @@ WHERE p.point_index = (SELECT max(point_index) FROM pts q WHERE q.session_id = p
 def _(d):
     speeds = paths.last_speeds(d.points)
     return paths.last_points(d.points).join(speeds, ["owner_id", "session_id"], "left").select(
-        "session_id", "point_index", T_S,
+        "session_id", "point_index", t_s(),
         F.round(F.coalesce("last_speed_mps", F.lit(0.0)), 4).alias("last_speed_mps"),
     )
 

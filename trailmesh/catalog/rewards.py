@@ -11,7 +11,10 @@ from trailmesh.catalog.zones import ZCTE
 from trailmesh.operators import paths, rewards, streets, zones
 
 R = ["owner_id", "session_id"]
-NOW = F.timestamp_seconds(F.lit(9000000))
+
+def now():
+    return F.timestamp_seconds(F.lit(9000000))
+
 
 # Medal events derived for the checks: walkers collect some of the medals in their square.
 EVENTS = {
@@ -58,7 +61,7 @@ def _(d):
 @query("rew6_medals_of_recordings")
 def _(d):
     found = rewards.medal_candidates(walked(d), paths.path_lengths(d.points), d.medals, R)
-    return rewards.collect_medals(found, d.sessions.select(*R, "started_at"), "recording", NOW).select(
+    return rewards.collect_medals(found, d.sessions.select(*R, "started_at"), "recording", now()).select(
         "owner_id", "medal_id", "session_id", "reason", "anchor_cell", "enclosure_area_m2")
 
 
@@ -163,7 +166,7 @@ def _(d):
 @query("rew4_new_seals", """
 SELECT concat('seal:', CAST(owner_id AS VARCHAR), '/', district_id, '/', kind) AS id, kind FROM tk WHERE progress >= 1""", TASKS)
 def _(d):
-    done = rewards.complete_tasks(progress(d), NOW)
+    done = rewards.complete_tasks(progress(d), now())
     return rewards.new_seals(done, done.select("id").filter("id = ''")).select("id", "kind")
 
 
@@ -171,7 +174,7 @@ def _(d):
 SELECT owner_id, max(concat(CAST(owner_id AS VARCHAR), '/', district_id, '/', kind)) AS id FROM tk WHERE progress < 1 GROUP BY owner_id""",
        TASKS)
 def _(d):
-    return rewards.active_tasks(rewards.complete_tasks(progress(d), NOW)).select("owner_id", "id")
+    return rewards.active_tasks(rewards.complete_tasks(progress(d), now())).select("owner_id", "id")
 
 
 @query("rew2_opportunities", """
@@ -191,7 +194,7 @@ FROM pr p JOIN sess s ON s.owner_id = p.owner_id WHERE s.session_id % 2 = 0""",
 def _(d):
     found = d.sessions.join(tasks(d).select("owner_id", "district_id").distinct(), "owner_id").select(
         "owner_id", "session_id", "district_id")
-    return rewards.loop_evidence(found, tasks(d), evidence(d), NOW).select("expedition_id", "session_id")
+    return rewards.loop_evidence(found, tasks(d), evidence(d), now()).select("expedition_id", "session_id")
 
 
 @query("joi13_final_evidence", """

@@ -9,7 +9,10 @@ from trailmesh.catalog.registry import query
 from trailmesh.operators import clean, grid, paths, quality, sessions, stats
 
 R = ["owner_id", "session_id"]
-AS_OF = F.timestamp_seconds(F.lit(5110000))
+
+def as_of():
+    return F.timestamp_seconds(F.lit(5110000))
+
 
 
 def recordings(d):
@@ -31,24 +34,24 @@ def _(d):
 @query("flt2_scope_today", """
 SELECT session_id FROM sess WHERE end_s > 5110000 - 5110000 % 86400 AND start_s < 5110000 - 5110000 % 86400 + 86400""")
 def _(d):
-    return sessions.display_scope(d.sessions, "today", AS_OF).select("session_id")
+    return sessions.display_scope(d.sessions, "today", as_of()).select("session_id")
 
 
 @query("flt2_scope_last7", "SELECT session_id FROM sess WHERE start_s >= 5110000 - 7 * 86400")
 def _(d):
-    return sessions.display_scope(d.sessions, "last7", AS_OF).select("session_id")
+    return sessions.display_scope(d.sessions, "last7", as_of()).select("session_id")
 
 
 @query("flt2_scope_selected", "SELECT session_id FROM sess WHERE session_id = 701")
 def _(d):
-    return sessions.display_scope(d.sessions, "selected", AS_OF, selected=701).select("session_id")
+    return sessions.display_scope(d.sessions, "selected", as_of(), selected=701).select("session_id")
 
 
 @query("asf2_overlap_local_day", """
 SELECT session_id FROM sess WHERE end_s > 5094000 AND start_s < 5094000 + 86400""")
 def _(d):
     """The local day in a zone one hour east of UTC in winter."""
-    return sessions.scope_overlap(d.sessions, *sessions.local_day(AS_OF, "Europe/Paris")).select("session_id")
+    return sessions.scope_overlap(d.sessions, *sessions.local_day(as_of(), "Europe/Paris")).select("session_id")
 
 
 FIXES = {
@@ -81,7 +84,7 @@ SELECT l.fix_id, coalesce(pref, CASE WHEN fallback AND n = 1 THEN only_one END)
             WHEN age <= 300 THEN 'deferred' ELSE 'ignored' END AS outcome
 FROM loose l LEFT JOIN hits h ON h.fix_id = l.fix_id""", FIXES)
 def _(d):
-    return sessions.assign_fixes(loose_fixes(d), d.sessions, AS_OF).select("fix_id", "session_id", "outcome")
+    return sessions.assign_fixes(loose_fixes(d), d.sessions, as_of()).select("fix_id", "session_id", "outcome")
 
 
 @query("joi2_pending_repairs", """
@@ -105,7 +108,7 @@ SELECT owner_id, cell_x, cell_y FROM cells c JOIN sess s USING (owner_id, sessio
 GROUP BY owner_id, cell_x, cell_y
 HAVING bool_or(start_s >= 5097600 AND start_s < 5184000) AND NOT bool_or(start_s < 5097600)""")
 def _(d):
-    low, high = sessions.local_day(AS_OF, "UTC")
+    low, high = sessions.local_day(as_of(), "UTC")
     return stats.new_cells_since(walked(d), d.sessions, low, high, final_only=False)
 
 
@@ -120,7 +123,7 @@ SELECT r.owner_id, count(*) AS recordings, round(sum(distance_m), 3) AS distance
 FROM final_recs r LEFT JOIN (SELECT owner_id, count(*) AS n FROM ocells GROUP BY owner_id) c ON c.owner_id = r.owner_id
 GROUP BY r.owner_id""")
 def _(d):
-    out = stats.lifetime(final_recordings(d), walked(d), AS_OF)
+    out = stats.lifetime(final_recordings(d), walked(d), as_of())
     return out.withColumn("latest_s", F.unix_seconds("latest_started_at")).drop("latest_started_at").withColumns(
         {c: F.round(c, 3) for c in ("distance_m", "latest_distance_m", "longest_distance_m", "today_distance_m")})
 
@@ -129,7 +132,7 @@ def _(d):
 SELECT owner_id, round(sum(CASE WHEN start_s >= 5110000 - 30 * 86400 THEN distance_m ELSE 0 END), 3) AS recent_distance_m
 FROM final_recs GROUP BY owner_id""")
 def _(d):
-    out = stats.recent_distance(final_recordings(d), AS_OF, 30)
+    out = stats.recent_distance(final_recordings(d), as_of(), 30)
     return out.withColumn("recent_distance_m", F.round("recent_distance_m", 3))
 
 
@@ -171,7 +174,7 @@ def _(d):
     kept = d.points.filter("session_id % 46 = 0 OR point_index < 1")
     counts = kept.groupBy(*R).agg(F.count(F.lit(1)).alias("points"))
     marked = d.discards.withColumn("discard_after", F.timestamp_seconds(F.col("session_id") * 1000 + 300))
-    return sessions.underfilled(marked, d.sessions, counts, AS_OF).drop("owner_id")
+    return sessions.underfilled(marked, d.sessions, counts, as_of()).drop("owner_id")
 
 
 @query("agg21_finalize", """

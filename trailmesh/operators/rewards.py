@@ -12,7 +12,7 @@ from trailmesh.functions.geo import cell_key, cell_x, cell_y
 from trailmesh.functions.text import fnv1a32, rotated_slice, street_of_part
 from trailmesh.operators.grid import CELL
 from trailmesh.operators.loops import GROUP, loop_groups
-from trailmesh.operators.sessions import IS_FINAL
+from trailmesh.operators.sessions import is_final
 from trailmesh.operators.zones import cells_in_zones, parts_in_zones, points_in_zones
 
 
@@ -94,7 +94,7 @@ def album_counts(progress: DataFrame) -> DataFrame:
 
 def visible_events(events: DataFrame, sessions: DataFrame) -> DataFrame:
     """Events without a recording, or whose recording is final."""
-    final = sessions.filter(IS_FINAL).select("owner_id", "session_id")
+    final = sessions.filter(is_final()).select("owner_id", "session_id")
     return events.filter(F.col("session_id").isNull()).unionByName(
         events.filter(F.col("session_id").isNotNull()).join(final, ["owner_id", "session_id"], "left_semi")
         .select(*events.columns))
@@ -173,7 +173,7 @@ def task_progress(tasks: DataFrame, districts: DataFrame, cells: DataFrame, sess
     accepted = tasks.filter(F.col("accepted_at").isNotNull()).select("id", "owner_id", "district_id", "kind", "accepted_at")
     on = ["owner_id", "district_id"]
     # A cell is new since T if its earliest recording started at or after T; only final ones count as new.
-    starts = sessions.select("owner_id", "session_id", "started_at", IS_FINAL.alias("_final"))
+    starts = sessions.select("owner_id", "session_id", "started_at", is_final().alias("_final"))
     first = cells.filter(F.col("session_id").isNotNull()).join(starts, ["owner_id", "session_id"]).groupBy(
         "owner_id", *CELL).agg(F.min("started_at").alias("_first"), F.max(F.when(F.col("_final"), F.col("started_at"))).alias("_last_final"))
     explored = cells_in_zones(first, districts).select("owner_id", F.col("zone_id").alias("district_id"), "_first", "_last_final")
@@ -196,7 +196,7 @@ def task_progress(tasks: DataFrame, districts: DataFrame, cells: DataFrame, sess
 
 
 def final_evidence(evidence: DataFrame, sessions: DataFrame) -> DataFrame:
-    final = sessions.filter(IS_FINAL).select("owner_id", "session_id")
+    final = sessions.filter(is_final()).select("owner_id", "session_id")
     return evidence.join(final, ["owner_id", "session_id"], "left_semi")
 
 

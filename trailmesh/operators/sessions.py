@@ -12,14 +12,17 @@ from trailmesh.operators.clean import RECORDING
 from trailmesh.operators.paths import last_points, last_speeds, path_lengths
 from trailmesh.session import epoch_seconds
 
-# Equal start and end mark a recording that is still running.
-IS_FINAL = F.expr("ended_at > started_at")
 DAY = 86400
 
 
+def is_final() -> Column:
+    """Equal start and end mark a recording that is still running."""
+    return F.col("ended_at") > F.col("started_at")
+
+
 def finalized(sessions: DataFrame, discards: DataFrame | None = None) -> DataFrame:
     """Finished recordings without a pending discard."""
-    final = sessions.filter(IS_FINAL)
+    final = sessions.filter(is_final())
     return final if discards is None else final.join(discards.select(*RECORDING), list(RECORDING), "left_anti")
 
 
@@ -98,7 +101,7 @@ def underfilled(discards: DataFrame, sessions: DataFrame, point_counts: DataFram
     points = F.coalesce("points", F.lit(0))
     return counted.select(
         *RECORDING, points.alias("points"),
-        F.when(points >= 2, F.when(IS_FINAL, "promoted").otherwise("released"))
+        F.when(points >= 2, F.when(is_final(), "promoted").otherwise("released"))
         .when(F.col("discard_after") <= now, "purged").otherwise("deferred").alias("outcome"),
     )
 
@@ -120,7 +123,7 @@ def finalize(stops: DataFrame, sessions: DataFrame, points: DataFrame) -> DataFr
 
 def unfinished(sessions: DataFrame, points: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Summary of running recordings for recovery; ``as_of`` set means they go on."""
-    running = sessions.filter(~IS_FINAL)
+    running = sessions.filter(~is_final())
     mine = points.join(running.select(*RECORDING), list(RECORDING), "left_semi")
     facts = path_lengths(mine).join(last_points(mine).select(*RECORDING, F.col("ts").alias("_last"), "point_index"),
                                     list(RECORDING)).join(last_speeds(mine), list(RECORDING), "left")

@@ -11,7 +11,7 @@ from trailmesh import constants as K
 from trailmesh.operators.clean import RECORDING
 from trailmesh.operators.grid import CELL
 from trailmesh.operators.loops import fillable_cells
-from trailmesh.operators.sessions import IS_FINAL, local_day
+from trailmesh.operators.sessions import is_final, local_day
 
 # Reference areas in square metres, ascending.
 AREA_LADDER = [
@@ -78,7 +78,7 @@ def completion_stats(cells: DataFrame, sessions: DataFrame) -> DataFrame:
     counted = by_cell.groupBy("owner_id").agg(
         F.sum("gps").alias("gps_cells"), F.sum("inferred").alias("inferred_cells"),
         F.sum("loop_fill").alias("loop_fill_cells"), F.count(F.lit(1)).alias("cells"))
-    walked = sessions.filter(IS_FINAL).groupBy("owner_id").agg(
+    walked = sessions.filter(is_final()).groupBy("owner_id").agg(
         F.count(F.lit(1)).alias("recordings"), F.sum("distance_m").alias("distance_m"))
     return counted.join(walked, "owner_id", "full")
 
@@ -134,7 +134,7 @@ def new_cells_since(cells: DataFrame, sessions: DataFrame, since: Column, before
 
     One aggregate per cell replaces the anti-join of the table with itself.
     """
-    starts = sessions.select(*RECORDING, "started_at", IS_FINAL.alias("_final"))
+    starts = sessions.select(*RECORDING, "started_at", is_final().alias("_final"))
     dated = cells.filter(F.col("session_id").isNotNull()).join(starts, list(RECORDING))
     current = F.col("started_at") >= since
     if before is not None:

@@ -12,14 +12,14 @@ from trailmesh import constants as K
 from trailmesh.functions.text import month_label
 from trailmesh.operators.clean import RECORDING
 from trailmesh.operators.ordered import with_previous, with_running
-from trailmesh.operators.sessions import IS_FINAL, finalized
+from trailmesh.operators.sessions import is_final, finalized
 
 PLAN = "owner_id long, session_id long, month string, points long, started_at timestamp, part int"
 
 
 def export_selection(sessions: DataFrame, discards: DataFrame) -> DataFrame:
     """Final recordings without a pending discard, of owners who are not recording right now."""
-    busy = sessions.filter(~IS_FINAL).select("owner_id").distinct()
+    busy = sessions.filter(~is_final()).select("owner_id").distinct()
     return finalized(sessions, discards).join(busy, "owner_id", "left_anti")
 
 
@@ -133,7 +133,7 @@ def verify(recordings: DataFrame, plans: DataFrame, payload: DataFrame, events:
         return df.join(parents.select(*keys).distinct(), list(keys), "left_anti")
 
     is_open = F.col("accepted_at").isNotNull() & F.col("abandoned_at").isNull() & F.col("completed_at").isNull()
-    bad_row = (~IS_FINAL) | (F.col("session_id") <= 0) | (F.col("distance_m") < 0) | (F.col("step_count") < 0) | (
+    bad_row = (~is_final()) | (F.col("session_id") <= 0) | (F.col("distance_m") < 0) | (F.col("step_count") < 0) | (
         F.col("activity_mode") != "walk")
     reports = [
         _rule("recording_metadata", recordings.filter(bad_row)),

@@ -15,18 +15,21 @@ from trailmesh.operators.clean import RECORDING
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
-@F.pandas_udf("string")
-def name_slug(names: pd.Series) -> pd.Series:
+def _slug(name: str | None) -> str:
+    text = unicodedata.normalize("NFKD", (name or "").strip() or "walk")
+    text = re.sub("[\u0300-\u036f]", "", text)
+    text = re.sub(r'[<>:"/\\|?*\x00-\x1f]', "-", text)
+    text = re.sub(r"-+", "-", re.sub(r"\s+", "-", text))
+    return re.sub(r"^-|-$", "", text)[:64] or "walk"
+
+
+def name_slug(name: Column) -> Column:
     """File-name form of a recording name: no accents, no reserved characters, at most 64 characters."""
 
-    def slug(name: str | None) -> str:
-        text = unicodedata.normalize("NFKD", (name or "").strip() or "walk")
-        text = re.sub("[̀-ͯ]", "", text)
-        text = re.sub(r'[<>:"/\\|?*\x00-\x1f]', "-", text)
-        text = re.sub(r"-+", "-", re.sub(r"\s+", "-", text))
-        return re.sub(r"^-|-$", "", text)[:64] or "walk"
+    def slugs(names: pd.Series) -> pd.Series:
+        return names.map(_slug)
 
-    return names.map(slug)
+    return F.pandas_udf(slugs, "string")(name)
 
 
 def file_names(sessions: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ SESSIONS = ("owner_id BIGINT, session_id BIGINT, activity_mode STRING, display_n
             "ended_at TIMESTAMP, distance_m DOUBLE, duration_s INT, step_count INT")
 ROUTE_POINT = "STRUCT<latitude: DOUBLE, longitude: DOUBLE, timestamp: STRING, accuracy: DOUBLE, pointIndex: INT>"
 ROUTE_SEGMENTS = f"ARRAY<STRUCT<type: STRING, confidence: STRING, points: ARRAY<{ROUTE_POINT}>>>"
-ALBUM = ("id STRING, version INT, cityName STRING, medals ARRAY<STRUCT<id: STRING, category: STRING, "
+ALBUM = ("id STRING, version INT, cityName MAP<STRING,STRING>, medals ARRAY<STRUCT<id: STRING, category: STRING, "
          "name: MAP<STRING,STRING>, latitude: DOUBLE, longitude: DOUBLE>>")
 
 
