@@ -137,3 +137,23 @@ def test_components_across_tiles(spark):
 @pytest.mark.parametrize("limit, filled", [(666, 64), (10, 0)])
 def test_fillable_limit(spark, limit, filled):
     assert loops.fillable_cells(cells(spark, {1: perimeter(10)}), ["owner_id"], limit).count() == filled
+
+
+def test_merged_polygons(spark):
+    shapes = {
+        1: rectangle(3, 3), 2: rectangle(3, 3, [(1, 1)]), 3: perimeter(9) | {(4, 4)}, 4: perimeter(30),
+        5: {(0, 0), (1, 1)}, 6: rectangle(40, 2), 7: rectangle(250, 200),
+    }
+    df = cells(spark, shapes)
+
+    def summary(limit=None):
+        got = {}
+        for r in loops.merged_polygons(df, ["owner_id"], limit).collect():
+            got.setdefault(r.owner_id, []).append((r.ring_cells, r.holes))
+        return {k: sorted(v) for k, v in got.items()}
+
+    plain, filled = summary(), summary(150_000)
+    assert plain[1] == [(9, 0)] and plain[2] == [(9, 1)] and filled[2] == [(9, 0)]
+    assert plain[3] == [(1, 0), (81, 1)] and filled[3] == [(81, 0)]
+    assert filled[4] == [(900, 1)]
+    assert plain[5] == [(1, 0), (1, 0)] and plain[6] == [(80, 0)] and plain[7] == [(50_000, 0)]

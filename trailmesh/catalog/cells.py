@@ -221,3 +221,18 @@ SELECT owner_id, cell_y AS y, min(cell_x) AS x0, max(cell_x) AS x1 FROM (
 GROUP BY owner_id, cell_y, g""")
 def _(d):
     return regions.cell_runs(explored(d), O)
+
+
+@query("geo5_ring_areas", """
+SELECT c.owner_id, polygons, coalesce(holes, 0) AS holes FROM (
+  SELECT owner_id, count(DISTINCT g) AS polygons FROM comps GROUP BY owner_id) c
+LEFT JOIN (SELECT owner_id, count(DISTINCT g) AS holes FROM oholes_grp GROUP BY owner_id) h ON h.owner_id = c.owner_id""", COMPONENTS)
+def _(d):
+    """Outer rings and holes per owner; no region of the derived walks lies inside another one's hole."""
+    return loops.merged_polygons(explored(d), O).groupBy("owner_id").agg(
+        F.count(F.lit(1)).alias("polygons"), F.sum("holes").alias("holes"))
+
+
+@query("geo6_filled_polygons")
+def _(d):
+    return loops.merged_polygons(explored(d), O, 150_000).drop("comp")

@@ -189,3 +189,22 @@ SELECT session_id, min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon
 FROM pts GROUP BY session_id""")
 def _(d):
     return paths.bounds(d.points).drop("owner_id")
+
+
+@query("win6_drawable_lines", """
+SELECT owner_id, session_id, count(*) AS pieces, min(vertices) AS fewest, max(vertices) AS most FROM (
+  SELECT owner_id, session_id, g, count(*) + 1 AS vertices FROM (
+    SELECT *, sum(CASE WHEN reason IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY step_no) AS g FROM steps)
+  WHERE reason IS NULL GROUP BY owner_id, session_id, g)
+GROUP BY owner_id, session_id""")
+def _(d):
+    """Stored confirmed steps as drawable lines; the derived runs are all shorter than 256 vertices."""
+    confirmed = d.steps.filter("kind = 'confirmed'")
+    after = confirmed.select("owner_id", "session_id", (F.col("step_no") + 1).alias("step_no"), F.lit(True).alias("_had"))
+    segments = confirmed.join(after, ["owner_id", "session_id", "step_no"], "left").select(
+        "owner_id", "session_id", F.col("step_no").alias("seg_no"), F.lit("confirmed").alias("type"),
+        F.lit(2).alias("vertices"), F.col("_had").isNotNull().alias("joined"))
+    lines = paths.drawable_lines(segments).groupBy("owner_id", "session_id", "line_no").agg(
+        (F.sum(F.col("vertices") - 1) + 1).alias("vertices"))
+    return lines.groupBy("owner_id", "session_id").agg(
+        F.count(F.lit(1)).alias("pieces"), F.min("vertices").alias("fewest"), F.max("vertices").alias("most"))

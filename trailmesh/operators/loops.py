@@ -195,3 +195,32 @@ def completion_cells(saved: DataFrame, active: DataFrame, keys: Sequence[str]) -
     known = saved.select(*keys, *CELL, "source").unionByName(active.select(*keys, *CELL, "source")).distinct()
     inside = fillable_cells(known.select(*keys, *CELL).distinct(), keys)
     return known.unionByName(inside.select(*keys, *CELL, F.lit("loop_fill").alias("source")))
+
+
+def merged_polygons(cells: DataFrame, keys: Sequence[str], max_filled_m2: float | None = None) -> DataFrame:
+    """One row per merged polygon: area inside its outer ring and the holes that stay open.
+
+    Holes of at most ``max_filled_m2`` are filled, and regions that lie inside a filled hole
+    vanish in it. A ring is named by its region and, for a hole, by the empty part it
+    surrounds; areas follow from run lengths, so no outline is traced.
+    """
+    keys = list(keys)
+    regions = [*keys, "comp"]
+    walked = components(checkpointed(cells.select(*keys, *CELL).distinct()), keys)
+    holes = checkpointed(enclosed_runs(walked, regions, diagonal=True).withColumnRenamed("label", "grp"))
+    limit = -1.0 if max_filled_m2 is None else float(max_filled_m2)
+    rings = holes.groupBy(*regions, "grp").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("hole_cells")).withColumn(
+        "filled", F.col("hole_cells") * K.CELL_AREA_M2 <= limit)
+    filled = holes.join(rings.filter("filled").select(*regions, "grp"), [*regions, "grp"], "left_semi")
+    anchor = walked.groupBy(*regions).agg(F.min(F.struct("y", "x0")).alias("_a")).select(
+        *keys, F.col("comp").alias("_inner"), F.col("_a.y").alias("y"), F.col("_a.x0").alias("_x"),
+        F.floor(F.col("_a.x0") / TILE).cast("int").alias("tx"))
+    swallowed = cut_at_tiles(filled).join(anchor, [*keys, "y", "tx"]).filter(
+        "_x BETWEEN x0 AND x1 AND _inner <> comp").select(*keys, F.col("_inner").alias("comp")).distinct()
+    solid = walked.groupBy(*regions).agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("_solid"))
+    per_region = rings.groupBy(*regions).agg(
+        F.sum("hole_cells").alias("_inside"), F.count_if(~F.col("filled")).alias("holes"),
+        F.sum(F.when(~F.col("filled"), F.col("hole_cells")).otherwise(0)).alias("hole_cells"))
+    return solid.join(swallowed, regions, "left_anti").join(per_region, regions, "left").select(
+        *keys, "comp", (F.col("_solid") + F.coalesce("_inside", F.lit(0))).alias("ring_cells"),
+        F.coalesce("holes", F.lit(0)).alias("holes"), F.coalesce("hole_cells", F.lit(0)).alias("hole_cells"))

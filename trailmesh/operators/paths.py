@@ -130,3 +130,45 @@ def bounds(points: DataFrame, keys: Sequence[str] = RECORDING) -> DataFrame:
         F.min("lat").alias("min_lat"), F.max("lat").alias("max_lat"),
         F.min("lon").alias("min_lon"), F.max("lon").alias("max_lon"),
     )
+
+
+def _merge_pieces(keys: Sequence[str]):
+    """Number drawable lines along sorted streams of pieces, carrying the size of the open line only."""
+
+    def run(batches):
+        current, number, size, open_line = None, -1, 0, False
+        for batch in batches:
+            out = []
+            names = zip(*[batch[k].tolist() for k in keys])
+            for name, kind, points, joined in zip(names, batch["type"], batch["vertices"], batch["joined"]):
+                if name != current:
+                    current, number, size, open_line = name, -1, 0, False
+                if open_line and kind == "confirmed" and joined and size + points - 1 <= K.CHUNK_VERTICES:
+                    size += points - 1
+                else:
+                    number, size = number + 1, points
+                    open_line = kind == "confirmed"
+                out.append(number)
+            yield batch.assign(line_no=out)
+
+    return run
+
+
+def drawable_lines(segments: DataFrame, keys: Sequence[str] = RECORDING) -> DataFrame:
+    """Drawable lines of stored route segments: long ones are cut at 256 vertices, and confirmed pieces
+    that adjoin are merged while they fit.
+
+    ``segments`` carry seg_no, type, vertices and joined (starts where the one before ended).
+    """
+    keys = list(keys)
+    stride = K.CHUNK_VERTICES - 1
+    count = F.greatest(F.lit(1), F.ceil((F.col("vertices") - 1) / stride)).cast("int")
+    pieces = segments.select(
+        *keys, "seg_no", "type", F.col("vertices").alias("_all"), F.col("joined").alias("_first_joined"),
+        F.explode(F.sequence(F.lit(0), count - 1)).alias("piece_no"),
+    ).select(
+        *keys, "seg_no", "piece_no", "type",
+        F.least(F.lit(K.CHUNK_VERTICES), F.col("_all") - F.col("piece_no") * stride).cast("long").alias("vertices"),
+        (F.col("_first_joined") | (F.col("piece_no") > 0)).alias("joined"), F.lit(0).cast("long").alias("line_no"))
+    return pieces.repartition(*keys).sortWithinPartitions(*keys, "seg_no", "piece_no").mapInPandas(
+        _merge_pieces(keys), pieces.schema)
