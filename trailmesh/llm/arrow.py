@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -29,7 +30,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 2
         column = batch.column(text)
         if not batch.num_rows:
             continue
-        sizes = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
         part = np.cumsum(sizes, dtype=np.int64) // max_bytes
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):

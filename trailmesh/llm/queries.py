@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmesh.llm import packing, urls
+from trailmesh.llm import html, langid, packing, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +42,31 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "offset")
 
 
+@query()
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn(
+        "held_out", F.coalesce(langid.fold(F.col("doc_id")) == 1, F.lit(False)))
+    model = langid.fit(docs.filter(~F.col("held_out")))
+    found = langid.identify(docs, model)
+    held_out = F.coalesce(langid.fold(F.col("doc_id")) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("""
+    WITH sized AS (
+      SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+      FROM pages),
+    firsts AS (
+      SELECT payload_digest, min(page_id) AS first FROM sized WHERE payload_bytes >= 100 GROUP BY 1)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN first < page_id THEN first END AS refers_to
+    FROM sized LEFT JOIN firsts USING (payload_digest)""")
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def _url_sql() -> str:
     def hit(term: str) -> str:
         return f"CASE WHEN regexp_matches(low, '(^|[^a-z0-9]){term}([^a-z0-9]|$)') THEN 1 ELSE 0 END"
@@ -73,3 +98,8 @@ def _url_sql() -> str:
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(table(spark, sf_dir, "pages"))
