@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmesh.llm import html, langid, packing, urls, warc
+from trailmesh.llm import html, langid, packing, quality, quality_sql, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quality_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents have no address: their source stands for the host, source and language for the path."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    return quality.classify(docs, labels, F.col("source"), path)
+
+
+@query(quality_sql.statement())
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", F.round("host_rate", 4).alias("host_rate"),
+                         F.round("path_rate", 4).alias("path_rate"), F.round("score", 4).alias("score"), "kept")
+
+
 @query()
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"))
