@@ -31,80 +31,108 @@ from trailmesh.llm.arrow import map_batches, slices
 CAPACITY = 4096
 END_ID = 2
 PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-#: Texts with control characters or rare kinds of white space are left to the tokenizer as they are.
-UNUSUAL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\xa0\u1680\u2000-\u206f\u3000\ufeff]|<\|")
-#: Fixed pattern of this vocabulary's words, for text of printable Latin-1 in lower case.
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-PLAIN = re.compile("[!-~À-ÿ]+")
+#: Texts with other characters than printable Latin-1, or with a special token, are encoded as a whole.
+UNUSUAL = "[^\t\n\r -~\u00a1-\u00ff]|<\\|"
+#: Fixed pattern of this vocabulary's words, for Latin-1 in lower case.
+WORDS = re.compile(
+    "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]"
+    "|[^\\sa-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff0-9\u00b2\u00b3\u00b9\u00bc-\u00be]+")
+WORD_END = "</w>"
+
+
+def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Positions start, start + 1, ... of every span, one span after the other."""
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(starts - (ends - counts), counts)
 
 
 class WordTokenizer:
     """Token ids of texts, looked up word by word; only new words reach the tokenizer.
 
-    Words are independent in this vocabulary, so a bounded table of words gives the same ids
-    as encoding whole texts, several times faster.
+    In this vocabulary no token crosses a word's end, so a bounded table of words gives the
+    same ids as encoding whole texts, several times faster.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.max_words = max_words
-        self.known: dict[str, list[int]] = {}
+        tokens = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+        self.ends_word = np.array([(t or "").endswith(WORD_END) for t in tokens])
+        self.clear()
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.max_words:
-            self.known.clear()
-        for word, code in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[word] = code.ids
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.starts = self.counts = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the given pieces between white space, and how many each has."""
+    def add(self, names: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.ids = np.concatenate([self.ids, ids])
+        self.known.update(zip(names, range(len(self.known), len(self.known) + len(names)), strict=True))
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes new words, many in one text, and cuts the ids at the words' ends."""
+        texts = [" ".join(words[i:i + 64]) for i in range(0, len(words), 64)]
+        codes = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.array(c.ids, np.uint32) for c in codes])
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            raise ValueError("the vocabulary does not mark the ends of words")
+        self.add(words, ids, np.diff(ends, prepend=0))
+
+    def chunks(self, chunks: list[str]) -> np.ndarray:
+        """Numbers, in the table, of the given pieces between white space."""
+        if len(self.known) > self.max_words:
+            self.clear()
         known = self.known
-        words = [WORDS.findall(c.lower()) if PLAIN.fullmatch(c) else [c] for c in chunks]
-        fresh = list({w for ws in words for w in ws if w not in known})
-        if len(known) + len(fresh) > self.max_words:  # the table starts anew, with all this batch needs
-            fresh = list({w for ws in words for w in ws})
-        if fresh:
-            self.learn(fresh)
-            known = self.known
-        ids: list[int] = []
-        counts = np.empty(len(chunks), np.int64)
-        for i, ws in enumerate(words):
-            before = len(ids)
-            for w in ws:
-                ids += known[w]
-            counts[i] = len(ids) - before
-        return np.array(ids, np.uint32), counts
+        found = np.fromiter((known.get(c, -1) for c in chunks), np.int64, len(chunks))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = [chunks[i] for i in missing]
+            words = [WORDS.findall(c) for c in new]
+            fresh = list({w for ws in words for w in ws if w not in known})
+            if fresh:
+                self.learn(fresh)
+            joined = [(c, ws) for c, ws in zip(new, words, strict=True) if c not in known]
+            if joined:
+                parts = np.fromiter((known[w] for _, ws in joined for w in ws), np.int64)
+                sizes = np.array([len(ws) for _, ws in joined])
+                counts = np.add.reduceat(self.counts[parts], np.cumsum(sizes) - sizes)
+                self.add([c for c, _ in joined], self.ids[spans(self.starts[parts], self.counts[parts])], counts)
+            found[missing] = [known[c] for c in new]
+        return found
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of every text, without special ones; a null text has none."""
-        found: list[np.ndarray | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts.to_pylist()) if t and UNUSUAL.search(t)]
+        texts = texts.fill_null("")
+        unusual = pc.match_substring_regex(texts, UNUSUAL)
+        odd = np.flatnonzero(unusual.to_numpy(zero_copy_only=False)).tolist()
+        plain = pc.if_else(unusual, "", texts) if odd else texts
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(plain))
+        coded = lists.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if "" in names:  # white space at an end leaves an empty piece
+            names[names.index("")] = " "
+        table = self.chunks([n for n in names if n != " "])
+        numbers = np.full(len(names), -1, np.int64)
+        numbers[[i for i, n in enumerate(names) if n != " "]] = table
+        starts = np.where(numbers < 0, 0, self.starts[numbers]) if len(self.starts) else np.zeros(len(names), np.int64)
+        counts = np.where(numbers < 0, 0, self.counts[numbers]) if len(self.counts) else np.zeros(len(names), np.int64)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        stream = self.ids[spans(starts[codes], counts[codes])]
+        edges = np.concatenate([[0], np.cumsum(counts[codes])])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        found = [stream[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
         for i in odd:
             found[i] = self.whole(texts[i].as_py())
-        plain = texts
-        if odd:
-            mask = np.zeros(len(texts), bool)
-            mask[odd] = True
-            plain = pc.if_else(pa.array(mask), "", texts)
-        lists = pc.ascii_split_whitespace(plain.fill_null(""))
-        flat = lists.flatten()
-        coded = flat.dictionary_encode()
-        ids, counts = self.chunks(coded.dictionary.to_pylist())
-        starts = np.cumsum(counts) - counts
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        lengths = counts[codes]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        take = np.arange(total) + np.repeat(starts[codes] - (ends - lengths), lengths)
-        stream = ids[take] if total else np.zeros(0, np.uint32)
-        edges = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        return [f if f is not None else stream[edges[i]:edges[i + 1]] for i, f in enumerate(found)]
+        return found
 
 
 def capacities(tokens: int, capacity: int) -> list[int]:
