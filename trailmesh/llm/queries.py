@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmesh.llm import html, langid, minhash, packing, projection, quality, quality_sql, simhash, urls, warc
+from trailmesh.llm import html, langid, lines, minhash, packing, projection, quality, quality_sql, simhash, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,6 +75,38 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query("""
+    WITH split AS (
+      SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+    every AS (
+      SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS q FROM split),
+    lines AS (
+      SELECT doc_id, q, raw, trim(raw, ' ' || chr(9) || chr(13)) AS line,
+             row_number() OVER (PARTITION BY doc_id ORDER BY q) AS p FROM every
+      WHERE trim(raw, ' ' || chr(9) || chr(13)) <> ''),
+    sized AS (
+      SELECT *, len(list_filter(regexp_split_to_array(line, '[ \t\r]+'), lambda x: x <> '')) AS words FROM lines),
+    pairs AS (
+      SELECT a.doc_id AS first_doc, a.p AS first_p, b.doc_id, b.p, b.q, b.words FROM sized a JOIN sized b
+      ON a.line = b.line AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.p < b.p)),
+    islands AS (
+      SELECT *, p - row_number() OVER (PARTITION BY first_doc, doc_id, p - first_p ORDER BY p) AS island FROM pairs),
+    runs AS (
+      SELECT doc_id, q, sum(words) OVER (PARTITION BY first_doc, doc_id, p - first_p, island) AS total FROM islands),
+    gone AS (SELECT DISTINCT doc_id, q FROM runs WHERE total >= 10),
+    kept AS (
+      SELECT e.doc_id, string_agg(raw, chr(10) ORDER BY e.q) AS text,
+             bool_or(trim(raw, ' ' || chr(9) || chr(13)) <> '') AS has_text
+      FROM every e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.q = g.q GROUP BY 1),
+    lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+    SELECT d.doc_id, len(l) AS n_lines, coalesce(n, 0) AS n_removed,
+           CASE WHEN n IS NULL THEN d.text WHEN has_text THEN k.text ELSE '' END AS text
+    FROM split d LEFT JOIN kept k USING (doc_id) LEFT JOIN lost USING (doc_id)""")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.without_repeated_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", "text")
+
+
 @query()
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn(
