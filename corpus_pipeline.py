@@ -1,30 +1,69 @@
-"""From raw documents to packed training sequences, in stages that are each written and read again."""
+"""From raw documents to packed training sequences, in stages that are each written and read again.
+
+Every stage takes ``(spark, docs, sf_dir)``. All but the last return the columns of
+``documents``. Documents without an id are never rejected, since no decision names them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trailmesh.llm import packing
+from trailmesh.llm import lines, minhash, packing, simhash
+from trailmesh.llm.queries import quality_of, table
 from trailmesh.session import checkpointed
 
 
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` but for the ids in ``rejected``; rows without an id stay."""
+    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    return without(docs, quality_of(docs, table(spark, sf_dir, "labels")).filter("not kept"))
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs of lines are cut out; a document that consists of them goes."""
+    cleaned = lines.without_repeated_lines(docs)
+    emptied = (F.col("n_removed") > 0) & (F.col("text") == "")
+    return cleaned.filter(~F.coalesce(emptied, F.lit(False))).withColumn(
+        "n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    ).select(*docs.columns)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest id: five words, similarity 0.8."""
+    return without(docs, minhash.near_duplicates(docs, shingle=5, percent=80).filter("not kept"))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no item of the benchmark is found."""
+    return without(docs, simhash.contaminated(docs, table(spark, sf_dir, "benchmark")))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all remaining documents in sequences of 4096 ids."""
     return packing.pack_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", good_quality),
+    ("line dedup", without_repeated_lines),
+    ("MinHash near-dedup", without_near_duplicates),
+    ("benchmark decontamination", without_benchmark),
     ("packing", packed),
 ]
 
-#: Token ids come from a tokenizer, which SQL cannot state.
+#: Token ids come from a tokenizer, which SQL cannot state; tests hold run() against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = checkpointed(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
