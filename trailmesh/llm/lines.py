@@ -394,13 +394,15 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     removed = repeated_lines(docs, id_col, text_col, least_words).select(
         F.col("doc").alias("_doc"), F.col("body").alias("_body"), F.col("removed").alias("_gone"))
-    text = F.col(text_col).cast("string")
-    keyed = docs.withColumn("_key", F.col(id_col).cast("long")).withColumn("_hash", F.xxhash64(text))
+    # The input's columns travel inside a struct, so that their names cannot clash with those used here.
+    row = docs.select(F.struct("*").alias("_row"))
+    text = F.col("_row")[text_col].cast("string")
+    keyed = row.withColumns({"_key": F.col("_row")[id_col].cast("long"), "_hash": F.xxhash64(text)})
     joined = keyed.join(removed, (F.col("_key") == F.col("_doc")) & (F.col("_hash") == F.col("_body")), "left")
     lines = F.split(text, "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains("_gone", i))
     some = F.exists(kept, lambda x: _bare(x) != "")
     cleaned = F.when(F.col("_gone").isNull(), text).when(some, F.array_join(kept, "\n")).otherwise("")
-    columns = [cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    columns = [(cleaned if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns]
     return joined.select(*columns, F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"),
                          F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
