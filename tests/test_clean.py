@@ -47,7 +47,7 @@ def test_fold_matches_and_slicing_changes_nothing(spark):
     got = {(r.session_id, r.ts.timestamp(), r.point_index) for r in whole.collect()}
     assert {(s, t - min(g[1] for g in got)) for s, t, _ in got} == {
         (s, t - min(w[1] for w in want)) for s, t in want}
-    sliced = clean.accepted_points(clean.accept_fixes(obs, slice_seconds=20, long_from=10))
+    sliced = clean.accepted_points(clean.accept_fixes(obs, slice_seconds=20))
     assert {(r.session_id, r.ts.timestamp(), r.point_index) for r in sliced.collect()} == got
 
 
@@ -58,7 +58,7 @@ def test_jump_at_a_slice_border_is_seen(spark):
     rows += [(1, 1, 40 + t, 45.7503 + t * 1e-5, 4.8, 5.0) for t in range(0, 30)]
     obs = fixes(spark, rows)
     a = clean.accept_fixes(obs).filter("accepted").count()
-    b = clean.accept_fixes(obs, slice_seconds=10, long_from=5).filter("accepted").count()
+    b = clean.accept_fixes(obs, slice_seconds=10).filter("accepted").count()
     assert a == b == len(fold([r[2:] for r in rows]))
 
 

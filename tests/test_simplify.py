@@ -56,5 +56,5 @@ def test_spacing_keeps_first_far_and_last(spark):
     points = indexed(spark, rows)
     want = [0, 9, 18, 27, 30]
     assert sorted(r.point_index for r in clean.spaced_points(points, 95.0).collect()) == want
-    sliced = clean.spaced_points(points, 95.0, slice_seconds=4, long_from=5)
+    sliced = clean.spaced_points(points, 95.0, slice_seconds=4)
     assert sorted(r.point_index for r in sliced.collect()) == want

@@ -1,3 +1,5 @@
+import math
+import random
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -5,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.shapes import fixes
+from trailmesh.functions.text import fnv1a32
 from trailmesh.operators import rewards, zones
 from trailmesh.sources import archive, gpx, osm
 
@@ -56,7 +59,7 @@ def test_gpx_file(spark, tmp_path):
     names = {r.session_id: r.file_name for r in gpx.file_names(recs).collect()}
     assert names[42] == "2026-08-07-Croix-Rousse-matin-ete-42.gpx"
     gpx.write_gpx(recs, points, str(tmp_path / "gpx"))
-    texts = {p.parent.name: p.read_text() for p in Path(tmp_path / "gpx").glob("*/*.txt")}
+    texts = {p.parent.name: p.read_text() for p in Path(tmp_path / "gpx").glob("*/*/*.txt")}
     assert len(texts) == 2
     track = texts[f"file_name={names[42]}"] if f"file_name={names[42]}" in texts else next(
         t for t in texts.values() if "trkpt" in t)
@@ -64,14 +67,74 @@ def test_gpx_file(spark, tmp_path):
     assert any("A &amp; &lt;B&gt;" in t for t in texts.values())
 
 
-def test_ring_assembly():
-    parts = [[(0, 0), (0, 1)], [(1, 1), (0, 1)], [(1, 1), (1, 0)], [(0, 0), (1, 0)]]
-    rings, left = osm.assemble_rings(parts)
-    assert [len(r) for r in rings] == [5] and left == 0
+def rings_of(spark, *relations):
+    """(outer rings, inner rings, open pieces) by relation; pieces are (role, points)."""
+    rows = [(k, [("way", role, [(float(a), float(b)) for a, b in points]) for role, points in pieces])
+            for k, pieces in enumerate(relations)]
+    schema = "id long, members array<struct<type:string,role:string,geometry:array<struct<lat:double,lon:double>>>>"
+    found = osm.relation_rings(spark.createDataFrame(rows, schema)).collect()
+    return {r.id: ([[(p.lat, p.lon) for p in ring] for ring in r.outer_rings],
+                   [[(p.lat, p.lon) for p in ring] for ring in r.inner_rings], r.open_pieces) for r in found}
+
+
+def test_ring_assembly(spark):
     square = [(0, 0), (0, 1), (1, 1), (1, 0), (0, 0)]
-    two, left = osm.assemble_rings([square, [(a + 3, b) for a, b in square]])
-    assert len(two) == 2 and left == 0
-    assert osm.assemble_rings([[(0, 0), (0, 1)], [(5, 5), (6, 6)]]) == ([], 2)
+    sides = [("outer", [(0, 0), (0, 1)]), ("outer", [(1, 1), (0, 1)]), ("", [(1, 1), (1, 0)]), ("outer", [(0, 0), (1, 0)])]
+    apart = [("outer", [(0, 0), (0, 1)]), ("outer", [(5, 5), (6, 6)])]
+    branch = [("outer", square[:3]), ("outer", square[2:]), ("outer", [(0, 0), (-1, -1)])]
+    flat = [("outer", [(0, 0), (1, 1), (2, 2), (0, 0)])]
+    found = rings_of(spark, sides, [("outer", square), ("inner", [(a / 3 + 0.1, b / 3 + 0.1) for a, b in square]),
+                                    ("outer", [(a + 3, b) for a, b in square])], apart, branch, flat, [])
+    assert found[0] == ([[(0, 0), (0, 1), (1, 1), (1, 0), (0, 0)]], [], 0)
+    assert [len(x) for x in found[1][:2]] == [2, 1] and found[1][2] == 0
+    assert found[2] == ([], [], 2) and found[3] == ([], [], 3) and found[4] == ([], [], 1) and found[5] == ([], [], 0)
+
+
+def test_long_rings_are_put_together(spark):
+    rng = random.Random(4)
+    corners = [(math.sin(k / 50 * math.pi), math.cos(k / 50 * math.pi)) for k in range(100)]
+    pieces = [("outer", [corners[k], corners[(k + 1) % 100]][:: rng.choice((1, -1))]) for k in range(100)]
+    rng.shuffle(pieces)
+    (ring,), _, left = rings_of(spark, pieces)[0]
+    assert left == 0 and len(ring) == 101 and ring[0] == ring[-1]
+    steps = {frozenset(x) for x in zip(ring, ring[1:])}
+    assert steps == {frozenset(p) for _, p in pieces}
+
+
+def test_layers(spark):
+    rows = [("1.5", False, False), ("100", False, False), ("", True, False), (" ", False, True), ("x", True, False),
+            (None, False, True), ("-2", True, False), ("Infinity", False, False)]
+    df = spark.createDataFrame(rows, "t string, bridge boolean, tunnel boolean")
+    got = [r[0] for r in df.select(osm.layer_of(F.col("t"), F.col("bridge"), F.col("tunnel"))).collect()]
+    assert got == [1.5, 100, 0, 0, 1, -1, -2, 0]
+
+
+def test_text_hash(spark):
+    def plain(text):
+        h = 2166136261
+        data = text.encode("utf-16-be")
+        for k in range(0, len(data), 2):
+            h = (h ^ int.from_bytes(data[k:k + 2])) * 16777619 & 0xFFFFFFFF
+        return h
+
+    texts = ["", "a", "été", "walk 𝔘 x", "45.75," * 5000]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(fnv1a32(F.col("t"))).collect()
+    assert [r[0] for r in got] == [plain(t) for t in texts]
+
+
+def test_whole_degrees_have_no_decimals(spark):
+    def zone(*corners):
+        return [("z", [[(float(a), float(b)) for a, b in corners]], [])]
+
+    schema = "id string, rings array<array<struct<lat:double,lon:double>>>, holes array<array<struct<lat:double,lon:double>>>"
+    mark = spark.createDataFrame(zone((45, 4), (45, 5), (46.5, 4)), schema).select(
+        zones.fingerprint().alias("f")).first().f
+    text = ('{"holes":[],"outer":[[{"latitude":45,"longitude":4},{"latitude":45,"longitude":5},'
+            '{"latitude":46.5,"longitude":4}]]}')
+    h = 2166136261
+    for c in text:
+        h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
+    assert mark == f"fnv1a:{h:08x}"
 
 
 def test_zones_from_relations(spark, tmp_path):

@@ -28,8 +28,9 @@ SELECT p.session_id, p.point_index AS line_no, concat('      <trkpt lat="', CAST
 FROM pts p JOIN final_sess s ON s.session_id = p.session_id""")
 def _(d):
     lines = gpx.gpx_lines(final_recordings(d), d.points)
-    names = gpx.file_names(final_recordings(d)).select("session_id", "file_name")
-    return lines.filter(F.col("line_no").between(0, 2**61)).join(names, "file_name").select("session_id", "line_no", "value")
+    names = gpx.file_names(final_recordings(d)).select("owner_id", "session_id", "file_name")
+    return lines.filter(F.col("line_no").between(0, 2**61)).join(names, ["owner_id", "file_name"]).select(
+        "session_id", "line_no", "value")
 
 
 BLOCKS = {

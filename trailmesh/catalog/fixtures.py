@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from trailmesh.operators import clean, paths
 from trailmesh.operators.ordered import with_running
-from trailmesh.session import checkpointed
+from trailmesh.session import checkpointed, scratch_folder
+
+# Verdicts of a session, by application, scratch folder and table folder.
+_VERDICTS: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def _side(k, at_side) -> F.Column:
@@ -51,13 +54,16 @@ class Data:
 
     @cached_property
     def verdicts(self) -> DataFrame:
-        cleaned = clean.best_observations(self.observations.filter(clean.is_valid_fix()))
-        return clean.accept_fixes(checkpointed(cleaned))
+        """Written once per session and folder: nearly every query starts here."""
+        key = (self.spark.sparkContext.applicationId, scratch_folder(self.spark), self.sf_dir)
+        if key not in _VERDICTS:
+            cleaned = clean.best_observations(self.observations.filter(clean.is_valid_fix()))
+            _VERDICTS[key] = checkpointed(clean.accept_fixes(checkpointed(cleaned)))
+        return _VERDICTS[key]
 
     @cached_property
     def points(self) -> DataFrame:
-        """The accepted points, written once: most jobs read them in more than one branch."""
-        return checkpointed(clean.accepted_points(self.verdicts))
+        return clean.accepted_points(self.verdicts)
 
     @cached_property
     def steps(self) -> DataFrame:

@@ -49,7 +49,7 @@ def _(d):
 
 
 @query("agg13_zone_totals", """
-SELECT b.id AS zone_id, b.box AS box_cells, CASE WHEN b.box <= 350000 THEN t.total END AS total_cells
+SELECT b.id AS zone_id, b.box AS box_cells, t.total AS total_cells
 FROM zbox b JOIN ztot t ON t.id = b.id""", ZCTE)
 def _(d):
     return zones.zone_totals(d.zones)

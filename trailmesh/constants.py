@@ -19,7 +19,6 @@ SAMPLE_M = 3.75
 CAPTURE_RADIUS_M = 15 / 2**0.5
 
 # Enclosure detection.
-FLOOD_BOX_LIMIT = 1_000_000
 MAX_LOOP_AREA_M2 = 150_000
 MAX_LOOP_CELLS = MAX_LOOP_AREA_M2 // CELL_AREA_M2
 MIN_LOOP_M = 80.0
@@ -48,7 +47,6 @@ HIGH_FACTOR = 1.35
 HIGH_EXTRA_M = 60.0
 
 # Zones.
-ZONE_BOX_LIMIT = 350_000
 BOUNDARY_FRESH_DAYS = 30
 
 # Live routes, previews, archives, late data.

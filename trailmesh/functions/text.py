@@ -13,12 +13,9 @@ MASK_32 = 4294967295
 
 def fnv1a32(text: Column) -> Column:
     """FNV-1a over the UTF-16 code units of ``text``, as an unsigned number in a long."""
-    units = F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))),
-            lambda i: F.conv(F.hex(F.encode(F.substring(text, i, F.lit(1)), "UTF-16BE")), 16, 10).cast("long"),
-        )
-    )
+    # The whole text is encoded and cut once, so the cost is linear; four hex digits are a unit.
+    codes = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
+    units = F.transform(codes, lambda c: F.conv(c, 16, 10).cast("long"))
     return F.aggregate(
         units,
         F.lit(FNV_OFFSET).cast("long"),

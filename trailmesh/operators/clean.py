@@ -99,10 +99,6 @@ VERDICT_FIELDS = [
 ]
 
 
-# A recording with more fixes than this (over five days at one per second) is folded in slices.
-LONG_RECORDING = 500_000
-
-
 def _metres(lat1, lon1, lat2, lon2):
     """Vector and scalar haversine used inside the fold."""
     a = (
@@ -205,31 +201,23 @@ def _fold(rows: DataFrame, keys: Sequence[str], rule: FoldRule, seeds: DataFrame
 
 
 def accept_fixes(
-    observations: DataFrame, keys: Sequence[str] = RECORDING, slice_seconds: int = 3600, long_from: int = LONG_RECORDING,
+    observations: DataFrame, keys: Sequence[str] = RECORDING, slice_seconds: int = 86_400,
     rule: FoldRule = CANONICAL,
 ) -> DataFrame:
     """Verdict for every observation: compare it with the last accepted fix of its recording.
 
     The fold depends on the last accepted row only, and times must be unique within a
-    recording (see ``best_observations``). Recordings are folded in parallel as streams of
-    sorted rows. One with more than ``long_from`` fixes would keep a single task busy, so it
-    is cut into time slices that are folded in parallel, each as if it came first. A slice
-    is right when the true fix before it leads to the same first point; the others are
-    folded again from that fix, until none is left.
+    recording (see ``best_observations``). Recordings are cut into time slices that are
+    folded in parallel as streams of sorted rows, each as if it came first, so that no
+    recording keeps a single task busy. A slice is right when the true fix before it leads
+    to the same first point; the others are folded again from that fix, until none is left.
 
     ``point_index`` numbers the accepted fixes of a recording from 0.
     """
-    whole = observations.withColumn(SLICE, F.lit(0).cast("long"))
-    long = observations.groupBy(*keys).count().filter(F.col("count") > long_from).select(*keys)
-    if long.isEmpty():
-        return _fold(whole, keys, rule).drop(SLICE).withColumnRenamed("slice_index", "point_index")
     rows = observations.withColumn(SLICE, time_slice("ts", slice_seconds))
     groups = [*keys, SLICE]
-    long = checkpointed(long)
-    short_rows = _fold(whole.join(long, list(keys), "left_anti"), keys, rule)
-    long_rows = rows.join(long, list(keys), "left_semi")
     done = checkpointed(
-        _fold(long_rows, keys, rule).withColumn("seed_ts", F.lit(None).cast("timestamp"))
+        _fold(rows, keys, rule).withColumn("seed_ts", F.lit(None).cast("timestamp"))
     )
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     while True:
@@ -266,7 +254,7 @@ def accept_fixes(
     numbered = done.drop("seed_ts").join(offsets, groups).withColumn(
         "slice_index", F.when(F.col("accepted"), F.col("slice_index") + F.col("_before")).otherwise(-1)
     ).drop("_before")
-    return short_rows.unionByName(numbered).drop(SLICE).withColumnRenamed("slice_index", "point_index")
+    return numbered.drop(SLICE).withColumnRenamed("slice_index", "point_index")
 
 
 def accepted_points(verdicts: DataFrame) -> DataFrame:

@@ -85,13 +85,6 @@ def dilate(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).distinct()
 
 
-def _with_small_box(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Regions whose flood frame, two cells larger than the region, is within the limit."""
-    sizes = boxes(runs, keys)
-    area = (F.col("max_x") - F.col("min_x") + 3).cast("long") * (F.col("max_y") - F.col("min_y") + 3)
-    return runs.join(sizes.filter(area <= K.FLOOD_BOX_LIMIT).select(*keys), list(keys), "left_semi")
-
-
 def tolerant_groups(cells: DataFrame, keys: Sequence[str], walked: DataFrame | None = None) -> DataFrame:
     """Cells of areas enclosed when seams of one cell are allowed.
 
@@ -113,12 +106,10 @@ def tolerant_groups(cells: DataFrame, keys: Sequence[str], walked: DataFrame | N
     )
     host = checkpointed(host)
     regions = [*keys, "kind", "comp"]
-    blocked = _with_small_box(
-        walked.withColumn("kind", F.lit("exact")).unionByName(grown.withColumn("kind", F.lit("tolerant"))), regions)
+    blocked = walked.withColumn("kind", F.lit("exact")).unionByName(grown.withColumn("kind", F.lit("tolerant")))
     pockets = run_cells(enclosed_runs(blocked, regions, diagonal=False), regions)
     walked_box = boxes(walked.join(host, [*keys, "comp"]).drop("comp").withColumnRenamed("host", "comp"), [*keys, "comp"])
-    large = _with_small_box(grown, [*keys, "comp"])
-    seams = run_cells(large, [*keys, "comp"]).withColumn("kind", F.lit("tolerant"))
+    seams = run_cells(grown, [*keys, "comp"]).withColumn("kind", F.lit("tolerant"))
     inside = (
         pockets.unionByName(seams.select(*regions, *CELL))
         .join(cells, [*keys, *CELL], "left_anti")

@@ -22,6 +22,12 @@ from trailmesh.session import checkpointed
 IN_TASK = 4096
 
 
+def great_circle_m(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
+    p, q = math.radians(lat), np.radians(lats)
+    h = np.sin((q - p) / 2) ** 2 + math.cos(p) * np.cos(q) * np.sin(np.radians(lons - lon) / 2) ** 2
+    return 2 * K.HAVERSINE_RADIUS_M * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
+
+
 def _kept(lat: np.ndarray, lon: np.ndarray, tolerance: float) -> np.ndarray:
     """Which points of one line stay."""
     keep = np.zeros(len(lat), dtype=bool)
@@ -35,8 +41,11 @@ def _kept(lat: np.ndarray, lon: np.ndarray, tolerance: float) -> np.ndarray:
         x, y = (lon[a + 1:b] - lon[a]) * scale, (lat[a + 1:b] - lat[a]) * K.METERS_PER_DEGREE
         ex, ey = (lon[b] - lon[a]) * scale, (lat[b] - lat[a]) * K.METERS_PER_DEGREE
         square = ex * ex + ey * ey
-        t = np.clip((x * ex + y * ey) / square, 0, 1) if square else np.zeros(len(x))
-        off = np.hypot(x - ex * t, y - ey * t)
+        if lat[a] == lat[b] and lon[a] == lon[b]:  # a closed range: great circles, as in the rounds
+            off = great_circle_m(lat[a], lon[a], lat[a + 1:b], lon[a + 1:b])
+        else:
+            t = np.clip((x * ex + y * ey) / square, 0, 1)
+            off = np.hypot(x - ex * t, y - ey * t)
         far = int(off.argmax())
         if off[far] > tolerance:
             keep[a + 1 + far] = True
@@ -82,7 +91,7 @@ def simplify_lines(points: DataFrame, tolerance: Column, keys: Sequence[str] = R
             scale = K.METERS_PER_DEGREE * F.cos(F.radians("_alat"))
             x, y = (F.col("lon") - F.col("_alon")) * scale, (F.col("lat") - F.col("_alat")) * K.METERS_PER_DEGREE
             ex, ey = (F.col("_blon") - F.col("_alon")) * scale, (F.col("_blat") - F.col("_alat")) * K.METERS_PER_DEGREE
-            off = F.when(haversine_m("_alat", "_alon", "_blat", "_blon") == 0, haversine_m("_alat", "_alon", "lat", "lon")) \
+            off = F.when((F.col("_alat") == F.col("_blat")) & (F.col("_alon") == F.col("_blon")), haversine_m("_alat", "_alon", "lat", "lon")) \
                 .otherwise(line_distance(x, y, F.lit(0.0), F.lit(0.0), ex, ey))
             inner = cornered.filter("point_index > _a AND point_index < _b").withColumn("_off", off)
             farthest = inner.groupBy(*keys, "_a", "_b").agg(

@@ -40,6 +40,8 @@ def fingerprint() -> Column:
             r, lambda p: F.struct(p["lat"].alias("latitude"), p["lon"].alias("longitude"))))
 
     text = F.to_json(F.struct(named(F.col("holes")).alias("holes"), named(F.col("rings")).alias("outer")))
+    # Numbers in their shortest form: whole degrees have no decimals.
+    text = F.regexp_replace(text, r"(\d)\.0(?=[,}\]])", "$1")
     return F.concat(F.lit("fnv1a:"), F.lower(F.lpad(F.hex(fnv1a32(text)), 8, "0")))
 
 
@@ -99,16 +101,14 @@ def zone_spans(zones: DataFrame) -> DataFrame:
     ).filter("_in AND NOT _out AND x1 >= x0").select("zone_id", "y", "x0", "x1")
 
 
-def zone_totals(zones: DataFrame, limit: int = K.ZONE_BOX_LIMIT) -> DataFrame:
-    """Cells inside each zone; null where the box of the zone is beyond the limit."""
+def zone_totals(zones: DataFrame) -> DataFrame:
+    """Cells inside each zone of any size: sums of runs, so that no cell is enumerated."""
     box = zone_bounds(zones)
     area = ((cell_x("max_lon") - cell_x("min_lon") + 1).cast("long") * (cell_y("max_lat") - cell_y("min_lat") + 1))
     sized = box.select("zone_id", area.alias("box_cells")).filter(F.col("box_cells").isNotNull())
-    small = zones.join(sized.filter(F.col("box_cells") <= limit).select(F.col("zone_id").alias("id")), "id", "left_semi")
-    sums = zone_spans(small).groupBy("zone_id").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("_n"))
+    sums = zone_spans(zones).groupBy("zone_id").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("_n"))
     return sized.join(sums, "zone_id", "left").select(
-        "zone_id", "box_cells",
-        F.when(F.col("box_cells") <= limit, F.coalesce("_n", F.lit(0))).alias("total_cells"))
+        "zone_id", "box_cells", F.coalesce("_n", F.lit(0)).cast("long").alias("total_cells"))
 
 
 def cells_in_zones(cells: DataFrame, zones: DataFrame) -> DataFrame:
@@ -147,8 +147,12 @@ def points_in_zones(points: DataFrame, zones: DataFrame, point_id: Sequence[str]
 # ---------------------------------------------------------------- completion
 
 def zone_completion(cells: DataFrame, zones: DataFrame, achievements: DataFrame,
-                    owner: Sequence[str] = ("owner_id",)) -> DataFrame:
-    """Completion per owner and zone from completion cells (with source)."""
+                    owner: Sequence[str] = ("owner_id",), asked: DataFrame | None = None) -> DataFrame:
+    """Completion per owner and zone from completion cells (with source).
+
+    ``asked`` names the pairs of owner and zone to report; a zone without an explored cell
+    is at 0 percent. Without it, the zones in which an owner has cells are reported.
+    """
     owner = list(owner)
     flags = ("gps", "inferred", "loop_fill")
     per_cell = cells.groupBy(*owner, *CELL).agg(*[
@@ -156,6 +160,9 @@ def zone_completion(cells: DataFrame, zones: DataFrame, achievements: DataFrame,
     counted = cells_in_zones(per_cell, zones).groupBy(*owner, "zone_id").agg(
         F.count(F.lit(1)).alias("explored_cells"), F.sum("gps").alias("walked_cells"),
         F.sum("inferred").alias("inferred_cells"), F.sum("loop_fill").alias("loop_cells"))
+    if asked is not None:
+        counted = asked.select(*owner, "zone_id").distinct().join(counted, [*owner, "zone_id"], "left").na.fill(
+            0, ["explored_cells", "walked_cells", "inferred_cells", "loop_cells"])
     facts = zones.select(F.col("id").alias("zone_id"), is_eligible().alias("_eligible"), fingerprint().alias("fingerprint"))
     totals = zone_totals(zones.filter(is_eligible())).select("zone_id", "total_cells")
     ratio = F.col("explored_cells") / F.col("total_cells")
@@ -167,8 +174,8 @@ def zone_completion(cells: DataFrame, zones: DataFrame, achievements: DataFrame,
         .select(
             *owner, "zone_id", "explored_cells", "walked_cells", "inferred_cells", "loop_cells", "total_cells",
             percent.alias("percent"),
-            F.when(~F.col("_eligible"), "invalid_boundary").when(F.col("total_cells").isNull(), "too_large")
-            .otherwise("available").alias("status"),
+            F.when(F.col("_eligible") & F.col("total_cells").isNotNull(), "available")
+            .otherwise("invalid_boundary").alias("status"),
             F.col("_done").isNotNull().alias("permanently_completed"), "fingerprint")
     )
 

@@ -44,7 +44,7 @@ def _iso(column: str) -> Column:
 
 
 def gpx_lines(sessions: DataFrame, points: DataFrame) -> DataFrame:
-    """(file_name, line_no, value): a head, one row per track point, a tail.
+    """(owner_id, file_name, line_no, value): a head, one row per track point, a tail.
 
     No document is built in memory: the rows of a file are sorted and written one by one.
     """
@@ -59,15 +59,16 @@ def gpx_lines(sessions: DataFrame, points: DataFrame) -> DataFrame:
     frame = titled.select(*RECORDING, "file_name", F.explode(F.array(
         F.struct(F.lit(-1).cast("long").alias("line_no"), head.alias("value")),
         F.struct(F.lit(2**62).cast("long").alias("line_no"), F.lit("    </trkseg>\n  </trk>\n</gpx>").alias("value")),
-    )).alias("l")).select("file_name", "l.line_no", "l.value")
+    )).alias("l")).select("owner_id", "file_name", "l.line_no", "l.value")
     track = points.join(titled.select(*RECORDING, "file_name"), list(RECORDING)).select(
-        "file_name", F.col("point_index").cast("long").alias("line_no"),
+        "owner_id", "file_name", F.col("point_index").cast("long").alias("line_no"),
         F.concat(F.lit('      <trkpt lat="'), F.col("lat").cast("string"), F.lit('" lon="'), F.col("lon").cast("string"),
                  F.lit('">\n        <time>'), _iso("ts"), F.lit("</time>\n      </trkpt>")).alias("value"))
     return frame.unionByName(track)
 
 
 def write_gpx(sessions: DataFrame, points: DataFrame, path: str) -> None:
-    """One folder ``file_name=...`` with one text file per recording."""
-    gpx_lines(sessions, points).repartition("file_name").sortWithinPartitions("file_name", "line_no").drop(
-        "line_no").write.mode("overwrite").partitionBy("file_name").text(path)
+    """One folder ``owner_id=.../file_name=...`` with one text file per recording; owners may use the same names."""
+    place = ["owner_id", "file_name"]
+    gpx_lines(sessions, points).repartition(*place).sortWithinPartitions(*place, "line_no").drop(
+        "line_no").write.mode("overwrite").partitionBy(*place).text(path)
