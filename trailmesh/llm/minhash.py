@@ -249,11 +249,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = checkpointed(signed.filter("n > 0 and doc is not null").groupBy("print").agg(
         F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     found = _candidates(reps.select("rep", "n", "sig"), coordinates, matches, percent, list_block)
-    groups = component_roots(found, [], small=0).select(F.col("node").alias("rep"), "root")
+    groups = component_roots(found, []).select(F.col("node").alias("rep"), "root")
     groups = groups.unionByName(groups.select(F.col("root").alias("rep"), "root")).distinct()
     members = checkpointed(reps.select("rep", "n", "print").join(groups, "rep"))
     links = _confirmed(rows, members, shingle, coordinates, matches, percent, seed, block, block_shingles)
-    roots = component_roots(links, [], small=0).select(F.col("node").alias("rep"), "root")
+    roots = component_roots(links, []).select(F.col("node").alias("rep"), "root")
     settled = reps.select("print", "rep").join(roots, "rep", "left").select(
         "print", F.coalesce("root", "rep").alias("_root"))
     joined = signed.join(settled, "print", "left").withColumn(
