@@ -3,10 +3,12 @@ import random
 import time
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from trailmesh.operators import clean
 from trailmesh.streaming.ingest import Ingest, changed_recordings
+from trailmesh.streaming import live
 from trailmesh.streaming.live import live_points
 
 BASE = 1_767_268_800
@@ -76,3 +78,75 @@ def test_live_state_equals_batch(spark, tmp_path):
     live = {(r.session_id, r.ts, r.point_index) for r in rows}
     batch = {(r.session_id, r.ts, r.point_index) for r in clean.canonical_points(fixes).collect()}
     assert live == batch and len(live) > 40
+
+
+class Clock:
+    """A group state with a clock that the test moves."""
+
+    def __init__(self):
+        self.value, self.now, self.timeout, self.hasTimedOut = None, 0, None, False
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def getCurrentProcessingTimeMs(self):  # noqa: N802
+        return self.now
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):  # noqa: N802
+        assert ms > 0
+        self.timeout = self.now + ms
+
+    def feed(self, run, fixes):
+        frame = pd.DataFrame([(pd.Timestamp(BASE + t, unit="s"), 45.75 + n * 1e-5, 4.8, 5.0) for t, n in fixes],
+                             columns=["ts", "lat", "lon", "accuracy"])
+        self.hasTimedOut = False
+        return pd.concat(list(run((1, 7), [frame], self)), ignore_index=True)
+
+    def wait(self, run):
+        self.now, self.hasTimedOut = self.timeout, True
+        found = list(run((1, 7), [], self))
+        return pd.concat(found, ignore_index=True) if found else None
+
+
+def test_fixes_are_sent_while_more_arrive():
+    clock, run, sent = Clock(), live._follow(750), []
+    for k in range(0, 100, 2):  # every trigger brings a pair in the wrong order
+        sent += clock.feed(run, [(3 * (k + 1), 2 * (k + 1)), (3 * k, 2 * k)]).point_index.tolist()
+        clock.now += 500
+        assert len(clock.value[7]) <= 4
+    assert len(sent) >= 94 and sent == list(range(len(sent)))
+
+
+def test_silence_is_told_once_and_forgotten():
+    clock, run = Clock(), live._follow(750)
+    clock.feed(run, [(0, 0), (3, 2)])
+    assert clock.wait(run).state.tolist() == ["live", "live"]
+    assert clock.wait(run).state.tolist() == ["stale"]
+    back = clock.feed(run, [(30, 20)])
+    assert len(back) == 0 and clock.wait(run).point_index.tolist() == [2]
+    assert clock.wait(run).state.tolist() == ["stale"]
+    assert clock.wait(run) is None and clock.value is None
+
+
+def test_stream_with_waiting_time_equals_batch(spark, tmp_path):
+    schema = "owner_id long, session_id long, sec long, lat double, lon double, accuracy double, arrival long"
+    rows = [(1, 1, BASE + 3 * (i ^ 1), 45.75 + 2e-5 * (i ^ 1), 4.8, 5.0, i) for i in range(40)]
+    source = str(tmp_path / "fixes")
+    fixes = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("sec")).drop("sec")
+    for k in range(4):
+        fixes.filter(f"arrival div 10 = {k}").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(fixes.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = live_points(stream, reorder_ms=300).writeStream.format("memory").queryName("held").option(
+        "checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="700 milliseconds").start()
+    deadline = time.time() + 120
+    while time.time() < deadline and spark.table("held").filter("state = 'live'").count() < 40:
+        time.sleep(1)
+    rows = spark.table("held").filter("state = 'live'").collect()
+    query.stop()
+    assert {(r.ts, r.point_index) for r in rows} == {(r.ts, r.point_index) for r in clean.canonical_points(fixes).collect()}

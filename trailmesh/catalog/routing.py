@@ -175,14 +175,28 @@ WHERE (k = 1 OR k = (SELECT max(k) FROM ptn p WHERE p.session_id = c.session_id)
   AND greatest(lon1, lon2) >= c.lon - 175 / (111320.0 * cos(radians(c.lat)))
   AND least(lon1, lon2) <= c.lon + 175 / (111320.0 * cos(radians(c.lat))))""", CENTRES)
 def _(d):
+    """Only the ways of every tenth walker have been fetched lately."""
     user = F.floor(F.regexp_extract("id", "^way/([^/]+)", 1).cast("long") / 10)
-    return corridors.samples_to_fetch(d.points, d.streets.filter(user % 10 == 0)).select("session_id", "point_index")
-
-
-@query("joi21_parts_in_corridors")
+    dated = d.streets.withColumn("fetched_at", F.timestamp_seconds(F.when(user % 10 == 0, 9000000).otherwise(0)))
+    return corridors.samples_to_fetch(d.points, dated, as_of=F.timestamp_seconds(F.lit(9000000))).select(
+        "session_id", "point_index")
+
+
+@query("joi21_parts_in_corridors", """
+SELECT DISTINCT id FROM (
+  SELECT id, (a_lon - lon) * sc AS px, (a_lat - lat) * 111320.0 AS py, (b_lon - lon) * sc AS qx, (b_lat - lat) * 111320.0 AS qy,
+         a_lat = b_lat AND a_lon = b_lon AS lone, {hav:lat|lon|a_lat|a_lon} AS far
+  FROM (SELECT id, lat1 + (lat2 - lat1) * 0.5 AS lat, lon1 + (lon2 - lon1) * 0.5 AS lon,
+               greatest(1.0, 111320.0 * cos(radians(lat1 + (lat2 - lat1) * 0.5))) AS sc FROM streets) s
+  JOIN (SELECT DISTINCT arg_min(lat, k) AS a_lat, arg_min(lon, k) AS a_lon, arg_max(lat, k) AS b_lat, arg_max(lon, k) AS b_lon
+        FROM ptn GROUP BY session_id) c ON abs(s.lat - c.a_lat) < 0.02 AND abs(s.lon - c.a_lon) < 0.02)
+WHERE CASE WHEN lone THEN far ELSE sqrt(
+    pow(px + (qx - px) * greatest(0, least(1, -(px * (qx - px) + py * (qy - py)) / nullif(pow(qx - px, 2) + pow(qy - py, 2), 0))), 2)
+  + pow(py + (qy - py) * greatest(0, least(1, -(px * (qx - px) + py * (qy - py)) / nullif(pow(qx - px, 2) + pow(qy - py, 2), 0))), 2)
+  ) END <= 250""", CENTRES)
 def _(d):
-    """Street parts within 250 m of the even walkers' paths."""
-    lines = corridors.corridor_lines(d.points.filter("owner_id % 8 = 0"))
+    """Street parts within 250 m of the walkers' paths, whose centres are their first and last points."""
+    lines = corridors.corridor_lines(d.points)
     mid = osm.midpoint()
     spots = d.streets.select("id", mid["lat"].alias("lat"), mid["lon"].alias("lon"))
     return corridors.within_corridors(spots, lines, corridors.REPAIR_M, ["id"]).select("id")

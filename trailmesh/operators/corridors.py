@@ -57,10 +57,13 @@ def gaps_to_fetch(gaps: DataFrame, streets: DataFrame, as_of: Column, keys: Sequ
     return middle.join(known, list(keys), "left_anti")
 
 
-def samples_to_fetch(points: DataFrame, streets: DataFrame, keys: Sequence[str] = RECORDING) -> DataFrame:
-    """Path samples every 600 m without any street within 175 m."""
+def samples_to_fetch(points: DataFrame, streets: DataFrame, keys: Sequence[str] = RECORDING,
+                     as_of: Column | None = None) -> DataFrame:
+    """Path samples every 600 m without any street within 175 m; with ``as_of``, without any fetched lately."""
     probes = spaced_points(points, REFRESH_SPACING_M, keys).select(*keys, "point_index", "lat", "lon")
-    known = streets_near(probes, streets, REFRESH_PROBE_M, [*keys, "point_index"]).select(*keys, "point_index").distinct()
+    fresh = F.lit(True) if as_of is None else (
+        F.unix_millis("fetched_at") >= F.unix_millis(as_of) - K.BOUNDARY_FRESH_DAYS * 86400000)
+    known = streets_near(probes, streets.filter(fresh), REFRESH_PROBE_M, [*keys, "point_index"]).select(*keys, "point_index").distinct()
     return probes.join(known, [*keys, "point_index"], "left_anti")
 
 
