@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailmesh.catalog.registry import query
-from trailmesh.catalog.rewards import evidence, events, tasks
+from trailmesh.catalog.rewards import TASKS, evidence, events, tasks
 from trailmesh.catalog.stats import final_recordings
 from trailmesh.operators import clean, sets
 from trailmesh.sources import archive, gpx, ledgers, osm
@@ -118,17 +118,22 @@ def _(d):
 @query("src11_verify_archive", """
 SELECT * FROM (VALUES ('recording_metadata', 0), ('recording_ids_unique', 0), ('blocks_cover_all', 0), ('blocks_cover_once', 0),
   ('blocks_known_recordings', 0), ('block_point_counts', 0), ('event_ids_unique', 0), ('collected_have_events', 0),
-  ('task_ids_unique', 0), ('seals_unique', 0), ('seals_have_tasks', 0), ('evidence_unique', 0)) v(rule, violations)""")
+  ('task_ids_unique', 0), ('seals_unique', 0), ('seals_have_tasks', 0), ('evidence_unique', 0)) v(rule, violations)
+UNION ALL SELECT 'events_known_recordings', count(*) FROM ev WHERE session_id IS NOT NULL
+  AND (owner_id, session_id) NOT IN (SELECT (owner_id, session_id) FROM final_sess)
+UNION ALL SELECT 'one_open_task', count(*) FROM (SELECT DISTINCT owner_id FROM pr)
+UNION ALL SELECT 'evidence_known_recordings', count(*) FROM sess s JOIN pr USING (owner_id)
+  WHERE s.session_id % 2 = 1 AND (s.owner_id, s.session_id) NOT IN (SELECT (owner_id, session_id) FROM final_sess)""", TASKS)
 def _(d):
-    """The derived data are sound but for the rules that the sample is meant to break, which are left out here."""
+    """All fifteen rules. The derived data break three of them: events and evidence of recordings that were
+    discarded, and owners with several open tasks."""
     recs = final_recordings(d).withColumn("distance_m", F.coalesce("distance_m", F.lit(0.0)))
     plans = archive.block_plans(recs)
     payload = archive.block_payload(plans, d.points)
     ev = events(d)
     t = tasks(d)
     seals = t.filter("kind = 'explore_cells'").select("owner_id", F.col("id").alias("expedition_id"))
-    report = archive.verify(recs, plans, payload, ev, ev, t, seals, evidence(d))
-    return report.filter(~F.col("rule").isin("events_known_recordings", "one_open_task", "evidence_known_recordings"))
+    return archive.verify(recs, plans, payload, ev, ev, t, seals, evidence(d))
 
 
 @query("src13_export_selection", """
