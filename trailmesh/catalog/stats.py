@@ -227,9 +227,10 @@ def _(d):
 
 
 @query("win9_latest_position", """
-SELECT owner_id, max(t_s) AS t_s, arg_max(accuracy, t_s) AS accuracy FROM obs WHERE accuracy <= 30 GROUP BY owner_id""")
+SELECT owner_id, t_s, accuracy, lat, lon FROM obs WHERE accuracy <= 30
+QUALIFY row_number() OVER (PARTITION BY owner_id ORDER BY t_s DESC, accuracy, lat DESC, lon DESC) = 1""")
 def _(d):
-    return quality.latest_positions(d.observations).select("owner_id", F.unix_seconds("ts").alias("t_s"), "accuracy")
+    return quality.latest_positions(d.observations).select("owner_id", F.unix_seconds("ts").alias("t_s"), "accuracy", "lat", "lon")
 
 
 @query("flt10_live_quality", """

@@ -85,10 +85,10 @@ def fix_status(devices: DataFrame, as_of: Column) -> DataFrame:
 
 
 def latest_positions(fixes: DataFrame, keys=("owner_id",)) -> DataFrame:
-    """Newest trustworthy fix per device."""
+    """Newest trustworthy fix per device; of several at one time the most accurate, taken whole."""
     sound = fixes.filter(is_trustworthy_fix())
-    return sound.groupBy(*keys).agg(
-        F.max("ts").alias("ts"), *[F.max_by(c, "ts").alias(c) for c in ("lat", "lon", "accuracy")])
+    newest = F.max(F.struct("ts", (-F.col("accuracy")).alias("rank"), "lat", "lon", "accuracy")).alias("_fix")
+    return sound.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"_fix.{c}").alias(c) for c in ("ts", "lat", "lon", "accuracy")])
 
 
 def milestones(summaries: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def lifetime(recordings: DataFrame, cells: DataFrame, as_of: Column, tz: str = "
         F.sum("distance_m").alias("distance_m"),
         F.sum("duration_s").alias("duration_s"),
         F.max("started_at").alias("latest_started_at"),
-        F.max_by("distance_m", "started_at").alias("latest_distance_m"),
+        F.max_by("distance_m", F.struct("started_at", "session_id")).alias("latest_distance_m"),
         F.max("distance_m").alias("longest_distance_m"),
         F.sum(F.when(today, F.col("distance_m")).otherwise(0.0)).alias("today_distance_m"),
         F.count_if(today).alias("today_recordings"),
