@@ -11,7 +11,6 @@ from trailmesh.operators import clean, corridors, paths, routing, simplify
 from trailmesh.plans import jobs
 from trailmesh.sources import osm
 
-REF = 45.75
 
 CTES["ln"] = """
 SELECT id, lat1, lon1, lat2, lon2, len,
@@ -44,7 +43,7 @@ def gaps(d):
 
 @query("geo13_street_graph", "SELECT a AS src, b AS dst, round(len, 3) AS dist_m FROM adj")
 def _(d):
-    _lines, _nodes, edges = routing.street_graph(d.streets, REF)
+    _lines, _nodes, edges = routing.street_graph(d.streets)
     return edges.select("src", "dst", F.round("dist_m", 3).alias("dist_m"))
 
 
@@ -86,7 +85,7 @@ SELECT pid AS part_id, qid AS r_part_id, round(lat1 + (lat2 - lat1) * greatest(0
        round(lon1 + (lon2 - lon1) * greatest(0, least(1, t)), 6) AS lon
 FROM xx WHERE t BETWEEN -0.00001 AND 1.00001 AND u BETWEEN -0.00001 AND 1.00001""", LEVEL)
 def _(d):
-    met = routing.crossings(routing.street_lines(level_parts(d)), REF)
+    met = routing.crossings(routing.street_lines(level_parts(d)))
     return met.select("part_id", "r_part_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
@@ -97,20 +96,20 @@ SELECT count(*) AS joins, round(sum(dist), 2) AS metres FROM (
   JOIN (SELECT DISTINCT way, ak AS k, lat1 AS lat, lon1 AS lon FROM pk UNION SELECT way, bk, lat2, lon2 FROM pk) q
     ON p.way // 10 = q.way // 10 AND p.k < q.k GROUP BY p.k, q.k) WHERE dist > 0.15 AND dist <= 8""", LEVEL)
 def _(d):
-    joins = routing.endpoint_joins(routing.street_lines(level_parts(d)), REF)
+    joins = routing.endpoint_joins(routing.street_lines(level_parts(d)))
     return joins.agg(F.count(F.lit(1)).alias("joins"), F.round(F.sum("dist_m"), 2).alias("metres"))
 
 
 @query("joi11_bridged_gaps")
 def _(d):
-    out = routing.bridge_gaps(gaps(d), d.streets, REF)
+    out = routing.bridge_gaps(gaps(d), d.streets)
     return out.select("session_id", "step_no", F.round("route_m", 3).alias("route_m"),
                       F.round("start_snap_m", 3).alias("start_snap_m"), F.round("end_snap_m", 3).alias("end_snap_m"), "confidence")
 
 
 @query("job1_frozen_routes")
 def _(d):
-    lines = jobs.freeze_routes(d.points, d.streets, REF).lines
+    lines = jobs.freeze_routes(d.points, d.streets).lines
     return lines.groupBy("owner_id", "session_id", "type").agg(F.count(F.lit(1)).alias("lines"))
 
 

@@ -9,11 +9,10 @@ from trailmesh.catalog.registry import query
 from trailmesh.operators import loops, sets, streets
 from trailmesh.sources import osm
 
-REF = 45.75
 
 
 def coverage(d):
-    return streets.street_coverage(d.steps.filter("kind = 'confirmed'"), d.streets, REF)
+    return streets.street_coverage(d.steps.filter("kind = 'confirmed'"), d.streets)
 
 
 COVER = {

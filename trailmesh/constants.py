@@ -11,6 +11,8 @@ MAX_CONFIRMED_STEP_S = 6.0
 HAVERSINE_RADIUS_M = 6371000.0
 MERCATOR_RADIUS_M = 6378137.0
 METERS_PER_DEGREE = 111320.0
+# Streets are matched in planar metres; the scale is that of the middle of a band of latitude.
+LATITUDE_BAND = 0.5
 
 # Exploration grid.
 CELL_M = 15

@@ -80,6 +80,21 @@ def cell_from_key(key) -> Column:
     return F.struct(parts[0].cast("int").alias("cell_x"), parts[1].cast("int").alias("cell_y"))
 
 
+def latitude_band(lat) -> Column:
+    return F.floor(_col(lat) / K.LATITUDE_BAND).cast("int")
+
+
+def bands_between(low, high, pad_m: float) -> Column:
+    """The bands of latitude that a range touches, ``pad_m`` wider on both sides."""
+    pad = pad_m / K.METERS_PER_DEGREE
+    return F.sequence(latitude_band(_col(low) - pad), latitude_band(_col(high) + pad))
+
+
+def band_latitude(band) -> Column:
+    """The latitude whose scale holds in a band."""
+    return (_col(band) + 0.5) * K.LATITUDE_BAND
+
+
 def planar_x(lon, ref_lat) -> Column:
     return _col(lon) * K.METERS_PER_DEGREE * F.cos(F.radians(_col(ref_lat)))
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from trailmesh import constants as K
 from trailmesh.functions.geo import (
-    buckets_between, clamp01, haversine_m, line_distance, near_bucket, one_decimal_percent, planar_x, planar_y,
+    band_latitude, bands_between, buckets_between, clamp01, haversine_m, latitude_band, line_distance, near_bucket,
+    one_decimal_percent, planar_x, planar_y,
 )
 from trailmesh.functions.text import street_of_part
 from trailmesh.operators.clean import RECORDING
@@ -89,9 +90,11 @@ def measured_parts(streets: DataFrame) -> DataFrame:
         "total_m", F.greatest(F.lit(1), F.ceil(F.col("total_m") / K.STREET_BIN_M)).cast("int").alias("total_bins"))
 
 
-def part_lines(parts: DataFrame, ref_lat: float) -> DataFrame:
-    """One row per planar line of a part, with the planar metres before it."""
-    ref = F.lit(ref_lat)
+def part_lines(parts: DataFrame) -> DataFrame:
+    """One row per planar line of a part and band of latitude, with the planar metres before it."""
+    lats = F.transform("coords", lambda p: p["lat"])
+    parts = parts.withColumn("_band", F.explode(bands_between(F.array_min(lats), F.array_max(lats), K.STREET_MATCH_M)))
+    ref = band_latitude("_band")
 
     def project(p: Column) -> Column:
         ax, ay = planar_x(p["a"]["lon"], ref), planar_y(p["a"]["lat"])
@@ -101,19 +104,19 @@ def part_lines(parts: DataFrame, ref_lat: float) -> DataFrame:
 
     flat = parts.withColumn("_lines", F.transform(_pairs(), project))
     lines = flat.select(
-        "segment_id", "street_id", "total_m", "total_bins",
+        "segment_id", "street_id", "total_m", "total_bins", "_band",
         F.posexplode("_lines").alias("line_no", "l"),
         F.transform("_lines", lambda p: p["len"]).alias("_lens"))
     before = F.aggregate(F.slice("_lens", 1, F.col("line_no")), F.lit(0.0), lambda t, v: t + v)
     return lines.select(
-        "segment_id", "street_id", "total_m", "total_bins", "line_no", "l.*",
+        "segment_id", "street_id", "total_m", "total_bins", "_band", "line_no", "l.*",
         F.when(F.col("line_no") == 0, 0.0).otherwise(before).alias("start_m")).filter("len > 0")
 
 
 # ---------------------------------------------------------------- coverage
 
 def street_coverage(
-    route_lines: DataFrame, streets: DataFrame, ref_lat: float, keys: Sequence[str] = RECORDING, salts: int = 8
+    route_lines: DataFrame, streets: DataFrame, keys: Sequence[str] = RECORDING, salts: int = 8
 ) -> DataFrame:
     """Bins of street parts that each recording has walked.
 
@@ -124,23 +127,27 @@ def street_coverage(
     of a sample is found inside the join partition, without another shuffle.
     """
     keys = list(keys)
-    ref = F.lit(ref_lat)
-    routes = route_lines.select(
-        *keys, "step_no",
-        planar_x("from_lon", ref).alias("_fx"), planar_y("from_lat").alias("_fy"),
-        planar_x("to_lon", ref).alias("_tx"), planar_y("to_lat").alias("_ty"),
-    ).withColumn("_rx", F.col("_tx") - F.col("_fx")).withColumn("_ry", F.col("_ty") - F.col("_fy"))
-    routes = routes.withColumn("_len", F.hypot("_rx", "_ry")).filter(F.col("_len") >= K.STREET_MIN_STEP_M)
+    dx, dy = planar_x(F.col("to_lon") - F.col("from_lon"), band_latitude(latitude_band("from_lat"))), planar_y(
+        F.col("to_lat") - F.col("from_lat"))
+    routes = route_lines.select(*keys, "step_no", "from_lat", "from_lon", "to_lat", "to_lon", F.hypot(dx, dy).alias("_len")).filter(
+        F.col("_len") >= K.STREET_MIN_STEP_M)
     count = F.greatest(F.lit(1), F.ceil(F.col("_len") / K.STREET_SAMPLE_M).cast("int"))
-    samples = routes.withColumn("_n", count).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n")))).select(
-        *keys, "step_no", "_i",
-        (F.col("_rx") / F.col("_len")).alias("_ux"), (F.col("_ry") / F.col("_len")).alias("_uy"),
-        (F.col("_fx") + F.col("_rx") * (F.col("_i") / F.col("_n"))).alias("_x"),
-        (F.col("_fy") + F.col("_ry") * (F.col("_i") / F.col("_n"))).alias("_y"),
+    spread = routes.withColumn("_n", count).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
+    # A sample is placed by the scale of its own band of latitude.
+    share = F.col("_i") / F.col("_n")
+    banded = spread.withColumn("_band", latitude_band(F.col("from_lat") + (F.col("to_lat") - F.col("from_lat")) * share))
+    ref = band_latitude("_band")
+    planar = banded.withColumns({
+        "_fx": planar_x("from_lon", ref), "_fy": planar_y("from_lat"),
+        "_rx": planar_x("to_lon", ref) - planar_x("from_lon", ref), "_ry": planar_y("to_lat") - planar_y("from_lat")})
+    size = F.hypot("_rx", "_ry")
+    samples = planar.select(
+        *keys, "step_no", "_i", "_band", (F.col("_rx") / size).alias("_ux"), (F.col("_ry") / size).alias("_uy"),
+        (F.col("_fx") + F.col("_rx") * share).alias("_x"), (F.col("_fy") + F.col("_ry") * share).alias("_y"),
     ).select(
         "*", near_bucket("_x", K.STREET_BUCKET_M).alias("_bx"), near_bucket("_y", K.STREET_BUCKET_M).alias("_by"),
         F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int").alias("_salt"))
-    lines = part_lines(measured_parts(streets), ref_lat)
+    lines = part_lines(measured_parts(streets))
     pad = K.STREET_MATCH_M
     placed = lines.select(
         "*", F.explode(buckets_between(F.least("ax", "bx"), F.greatest("ax", "bx"), K.STREET_BUCKET_M, pad)).alias("_bx"),
@@ -152,7 +159,7 @@ def street_coverage(
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     along = clamp01(((F.col("_x") - F.col("ax")) * dx + (F.col("_y") - F.col("ay")) * dy) / (dx * dx + dy * dy))
     met = (
-        samples.join(placed, ["_bx", "_by", "_salt"])
+        samples.join(placed, ["_band", "_bx", "_by", "_salt"])
         .filter(cosine >= math.cos(math.radians(K.STREET_MATCH_DEGREES)))
         .withColumn("_t", along)
         .withColumn("_d", F.hypot(F.col("_x") - (F.col("ax") + F.col("_t") * dx),
@@ -163,7 +170,7 @@ def street_coverage(
         F.col("total_bins") - 1,
         F.floor((F.col("start_m") + F.col("_t") * F.col("len")) / F.greatest(F.lit(0.001), F.col("total_m"))
                 * F.col("total_bins")).cast("int"))
-    best = met.groupBy("_bx", "_by", "_salt", *keys, "step_no", "_i").agg(F.min(F.struct(
+    best = met.groupBy("_band", "_bx", "_by", "_salt", *keys, "step_no", "_i").agg(F.min(F.struct(
         F.round("_d", _TIE_DIGITS).alias("d"), "segment_id", "line_no", bin_no.alias("bin"), "street_id",
         "total_bins", "total_m")).alias("_m"))
     bins = best.select(*keys, "_m.segment_id", "_m.street_id", "_m.total_bins", "_m.total_m", "_m.bin").distinct()
