@@ -246,7 +246,26 @@ def _(d):
     return zones.district_parents(cities_and_districts(d)).select("id", "parent_zone_id")
 
 
-@query("geo14_zone_fingerprints")
+def _corner(lat: str, lon: str) -> str:
+    number = "regexp_replace(CAST({} AS VARCHAR), '[.]0$', '')".format
+    return f"chr(123), '\"latitude\":', {number(lat)}, ',\"longitude\":', {number(lon)}, chr(125)"
+
+
+# The geometry text of the rectangles, hashed character by character.
+HASHED = {
+    **ZCTE,
+    "ztxt": "SELECT id AS k, concat(chr(123), '\"holes\":[],\"outer\":[[', " + ", ',', ".join([
+        _corner("min_lat", "min_lon"), _corner("min_lat", "max_lon"), _corner("max_lat", "max_lon"), _corner("max_lat", "min_lon"),
+    ]) + ", ']]', chr(125)) AS txt FROM zones",
+    "zhash": """
+SELECT k, txt, 0 AS i, CAST(2166136261 AS BIGINT) AS h FROM ztxt
+UNION ALL
+SELECT k, txt, i + 1, (xor(h, CAST(ord(substr(txt, i + 1, 1)) AS BIGINT)) * 16777619) & 4294967295 FROM zhash WHERE i < length(txt)""",
+}
+
+
+@query("geo14_zone_fingerprints", """
+SELECT k AS id, concat('fnv1a:', lpad(lower(to_hex(h)), 8, '0')) AS fingerprint FROM zhash WHERE i = length(txt)""", HASHED)
 def _(d):
     return d.zones.select("id", zones.fingerprint().alias("fingerprint"))
 
