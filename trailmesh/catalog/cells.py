@@ -236,3 +236,11 @@ def _(d):
 @query("geo6_filled_polygons")
 def _(d):
     return loops.merged_polygons(explored(d), O, 150_000).drop("comp")
+
+
+@query("geo1_cells_of_keys", """
+SELECT DISTINCT concat(CAST(cell_x AS VARCHAR), ':', CAST(cell_y AS VARCHAR)) AS cell_key, cell_x, cell_y FROM cells""")
+def _(d):
+    """Keys written and read again."""
+    keys = walked(d).select(geo.cell_key("cell_x", "cell_y").alias("cell_key")).distinct()
+    return keys.select("cell_key", geo.cell_from_key("cell_key").alias("c")).select("cell_key", "c.cell_x", "c.cell_y")

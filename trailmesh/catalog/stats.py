@@ -329,3 +329,23 @@ def _(d):
 def _(d):
     gone = d.sessions.filter("session_id % 10 = 3")
     return sessions.erase_recording(d.points, gone).select(*R, "point_index")
+
+
+@query("agg5_loop_summaries", """
+SELECT l.owner_id, l.session_id, loops, accepted_loops, rejected_loops, area_m2, total_len_m, unwalked_len_m, rejection_reasons,
+       coalesce(filled_cells, 0) AS filled_cells
+FROM (SELECT owner_id, session_id, count(*) AS loops, count(*) FILTER (o % 3 = 0) AS accepted_loops,
+             count(*) FILTER (o % 3 > 0) AS rejected_loops, max(o % 500) AS area_m2, sum(o % 90) AS total_len_m, sum(o % 7) AS unwalked_len_m,
+             coalesce(string_agg(DISTINCT CASE o % 3 WHEN 1 THEN 'street' WHEN 2 THEN 'too_large' END, ','
+                                 ORDER BY CASE o % 3 WHEN 1 THEN 'street' WHEN 2 THEN 'too_large' END), '') AS rejection_reasons
+      FROM (SELECT owner_id, session_id, observation_id AS o FROM pts WHERE observation_id % 5 = 0) GROUP BY ALL) l
+LEFT JOIN (SELECT owner_id, session_id, count(*) AS filled_cells FROM (SELECT DISTINCT owner_id, session_id, cell_x, cell_y FROM cells)
+           WHERE cell_x % 4 = 0 GROUP BY ALL) c USING (owner_id, session_id)""")
+def _(d):
+    """Every fifth accepted point stands for an evaluated loop, every fourth column of cells for filled ones."""
+    o = F.col("observation_id")
+    found = d.points.filter(o % 5 == 0).select(
+        *R, (o % 3 == 0).alias("accepted"), (o % 500).alias("area_m2"), (o % 90).alias("total_len_m"), (o % 7).alias("unwalked_len_m"),
+        F.when(o % 3 == 1, "street").when(o % 3 == 2, "too_large").alias("rejection_reason"))
+    cells = walked(d).withColumn("source", F.when(F.col("cell_x") % 4 == 0, "loop_fill").otherwise("gps"))
+    return stats.loop_summaries(found, cells)
