@@ -128,8 +128,9 @@ def _cells(rows: DataFrame, blocks: str, key: str) -> DataFrame:
 def _candidates(reps: DataFrame, coordinates: int, matches: int, percent: int, block: int) -> DataFrame:
     """(a, b): links that join all representatives with enough collisions into groups."""
     postings = _posted(reps, coordinates - matches + 1)
-    crowded = postings.groupBy("c", "v").count().filter(F.col("count") > block).select(
-        "c", "v", F.ceil(F.col("count") / block).alias("_blocks"))
+    # Written, so that the planner knows how few these are and leaves the postings where they are.
+    crowded = checkpointed(postings.groupBy("c", "v").count().filter(F.col("count") > block).select(
+        "c", "v", F.ceil(F.col("count") / block).alias("_blocks")))
     rows = postings.join(crowded, ["c", "v"], "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     rows = _cells(rows, "_blocks", "rep")
     partitions = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -194,7 +195,8 @@ def _confirmed(docs: DataFrame, members: DataFrame, shingle: int, coordinates: i
     sizes = members.groupBy("root").agg(F.greatest(
         F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_shingles)).alias("_blocks"))
     placed = members.join(sizes, "root")
-    texts = docs.join(placed, F.col("doc") == F.col("rep")).select("root", "rep", "_blocks", "text", "print")
+    # Members grow with the corpus: the join is planned as a shuffle whatever their number.
+    texts = docs.join(placed.hint("merge"), F.col("doc") == F.col("rep")).select("root", "rep", "_blocks", "text", "print")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for part in slices(batches, "text"):
