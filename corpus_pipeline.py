@@ -17,8 +17,11 @@ from trailmesh.session import checkpointed
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` but for the ids in ``rejected``; rows without an id stay."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` but for the ids in ``rejected``; rows without an id stay.
+
+    What is rejected grows with the corpus, so it is never broadcast, whatever its size.
+    """
+    return docs.join(rejected.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
