@@ -151,3 +151,30 @@ def test_needed_links_connect_the_same_rows():
                 assert hit[a, b]
                 g.join(a, b)
         assert [full.find(k) for k in range(20)] == [few.find(k) for k in range(20)]
+
+
+def test_no_word_is_left_out_of_the_language_model(spark):
+    """What is held in memory makes no difference; words seen once count, and rare n-grams back unseen words."""
+    rng = np.random.default_rng(11)
+    letters = {"x": "abcdefg", "y": "efghijk", "z": "ghijkab"}
+    rows = []
+    for k in range(90):
+        lang = "xyz"[k % 3] if k % 9 else "x"
+        words = ["".join(rng.choice(list(letters[lang]), int(rng.integers(1, 7)))) for _ in range(12)]
+        rows.append((k, " ".join(words), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train, asked = docs.filter("doc_id < 60"), docs.drop("lang")
+    whole, few = langid.fit(train), langid.fit(train, max_words=20, max_grams=15)
+    assert len(few.words) <= 20 < len(whole.words) and len(few.grams) <= 15 < len(whole.grams)
+    plain = {}
+    for i, text, _ in rows:
+        total = np.zeros(3)
+        for word in langid.words_of(text):
+            row = whole.words.get(word)
+            total += whole.unseen(word) if row is None else whole.word_scores[row]
+        plain[i] = (whole.languages[int(np.argmax(total))], 1 / np.exp(total - total.max()).sum())
+    for model in (whole, few, langid.fit(train, max_words=0, max_grams=0)):
+        found = langid.identify(asked, model).collect()
+        assert [r.doc_id for r in found] == list(range(90))
+        assert [r.lang_pred for r in found] == [plain[k][0] for k in range(90)]
+        assert np.allclose([r.score for r in found], [plain[k][1] for k in range(90)], atol=1e-4)
