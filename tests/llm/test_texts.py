@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -186,3 +187,27 @@ def test_word_table_equals_tokenizer(batch):
 
 
 TABLE = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"), max_words=50)
+
+
+def test_decontamination_with_repeated_words(spark):
+    """A run of one word turns more bits of a fingerprint than the radius allows; such windows count all the same."""
+    rng = np.random.default_rng(9)
+    docs, items = [], []
+    for k, (size, run) in enumerate([(60, 6), (60, 5), (120, 11), (200, 12), (200, 20), (300, 28)]):
+        words = [f"k{k}w{x}" for x in rng.integers(0, 10_000, size)]
+        head, tail = " ".join(words[:size - run]), " ".join(words[size - run:])
+        other = " ".join(f"z{x}" for x in rng.integers(0, 10_000, 40))
+        items += [(2 * k, f"{head} {tail}"), (2 * k + 1, f"{other} {head}" + " so" * run)]
+        docs += [(3 * k, f"{other} {head}" + " la" * (run + 30)), (3 * k + 1, f"{other} {head} {tail}"),
+                 (3 * k + 2, " la" * 50 + f" {head}" + " so" * (run // 2) + " la" * 40)]
+    want = brute.contaminated(docs, items)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = simhash.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench, item_block=5)
+    assert {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in found.collect()} == want
+    missed = simhash.Index(items, 5, 5, simhash.RADIUS)
+    missed._shared = lambda item, hashes, span: np.zeros(1)  # by fingerprints alone
+    alone = set()
+    for doc, text in docs:
+        words, _ = simhash.normal_words(pa.array([text]))
+        alone |= {(doc, m[0]) for m in missed.matches(words, simhash.rolling(words, 5), 80)}
+    assert alone < set(want)

@@ -4,7 +4,9 @@ Every window of a document that has as many words as an item gets a fingerprint
 shingles, weighted by how often they occur in it. Fingerprints are looked up in a multi-index:
 four blocks of 16 bits, each listed under all values within a quarter of the radius, so every
 item within the Hamming radius is found in at least one block. What is found is verified by
-the exact weighted similarity of the two shingle multisets.
+the exact weighted similarity of the two shingle multisets. A shingle that repeats can turn more
+bits than the radius allows, so wherever a document holds enough of an item's shingles the
+shared counts of all windows are taken as well, whatever their fingerprints.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from trailmesh.llm.arrow import map_batches, slices
 from trailmesh.llm.shingles import HASH_KEY, mix, rolling
 
 BLOCKS, BLOCK_BITS = 4, 16
-#: A pair of weighted similarity 0.8 differs in 64 * 0.15 bits on average; beyond 19 in less than one of a thousand.
+#: If no shingle repeats, a pair of similarity 0.8 lies beyond 19 bits in less than one of a thousand; such pairs, and
+#: those with repeats, are found by their shared counts.
 RADIUS = 19
 FILTER_BITS = 20
 MATCHES = "doc long, item_id long, similarity double, start_word long, n_words long"
@@ -68,6 +71,17 @@ class Size:
     prints: np.ndarray
     keys: np.ndarray  # sorted: block and value
     entries: np.ndarray  # item, parallel to keys
+    pieces: np.ndarray  # sorted: the distinct shingles of each item
+    owners: np.ndarray  # item, parallel to pieces
+    wanted: np.ndarray  # how often the item has the shingle, parallel to pieces
+
+    def promising(self, shingles: np.ndarray, least: float) -> list[int]:
+        """Items of which the distinct ``shingles`` can make up ``least`` shared ones."""
+        lo, hi = np.searchsorted(self.pieces, shingles, "left"), np.searchsorted(self.pieces, shingles, "right")
+        n = hi - lo
+        at = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
+        most = np.bincount(self.owners[at], weights=self.wanted[at], minlength=len(self.items))
+        return np.flatnonzero(most >= least).tolist()
 
 
 class Index:
@@ -105,7 +119,12 @@ class Index:
             entries.append(np.repeat(np.arange(len(rows)), len(self.near)))
         keys, entries = np.concatenate(keys), np.concatenate(entries)
         order = np.argsort(keys, kind="stable")
-        return Size(words, [r for r, _ in rows], prints, keys[order], entries[order].astype(np.int32))
+        each = [np.unique(found, return_counts=True) for _, found in rows]
+        pieces, wanted = np.concatenate([e[0] for e in each]), np.concatenate([e[1] for e in each])
+        owners = np.repeat(np.arange(len(rows)), [len(e[0]) for e in each])
+        rank = np.argsort(pieces, kind="stable")
+        return Size(words, [r for r, _ in rows], prints, keys[order], entries[order].astype(np.int32), pieces[rank],
+                    owners[rank], wanted[rank])
 
     def holds(self, shingles: np.ndarray) -> np.ndarray:
         """Which shingles some item has."""
@@ -162,9 +181,18 @@ class Index:
                 if span < 1 or span > b - a:
                     continue
                 starts = np.arange(b - a - span + 1)
-                starts = starts[touched[starts + span] > touched[starts]]
+                held = touched[starts + span] - touched[starts]
+                starts = starts[held > 0]
                 if not len(starts):
                     continue
+                # shared * 100 >= percent * union, for the union of a window and an item of this size
+                least = percent * (span + size.words - self.shingle + 1) / (100 + percent) - 1e-6
+                if held.max() >= least:
+                    for i in size.promising(np.unique(hashes[a + mine]), least):
+                        shared = self._shared(size.items[i], hashes[a:b], span)
+                        w = int(np.argmax(shared))
+                        if shared[w] >= least:
+                            self._verify(size.items[i], hashes[a + w:a + w + span], a + w, percent, best)
                 prints = packed(sums[starts + span] - sums[starts])
                 for w, i in self.within_radius(size, prints):
                     start = a + int(starts[w])
@@ -172,6 +200,26 @@ class Index:
         for i, (similarity, start, span) in sorted(best.items()):
             yield self.ids[i], similarity, start, span + self.shingle - 1
 
+    def _shared(self, item: int, hashes: np.ndarray, span: int) -> np.ndarray:
+        """Sum of the lesser counts of each shingle of the item and of every window of ``span`` shingles.
+
+        An occurrence counts in the windows that hold it but not yet as many earlier ones as the item has.
+        """
+        counts = self.counts[item]
+        keys = np.array(sorted(counts), np.uint64)
+        wanted = np.array([counts[k] for k in keys.tolist()])
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        place = np.flatnonzero(keys[at] == hashes)
+        order = np.argsort(at[place], kind="stable")
+        place, group = place[order], at[place][order]
+        before = np.arange(len(place)) - wanted[group]
+        full = before >= np.searchsorted(group, group, "left")
+        since = np.where(full, place[np.maximum(before, 0)] + 1, 0)
+        steps = np.zeros(len(hashes) + 1, np.int64)
+        np.add.at(steps, np.maximum(since, np.maximum(place - span + 1, 0)), 1)
+        np.add.at(steps, place + 1, -1)
+        return np.cumsum(steps)[:len(hashes) - span + 1]
+
     def _verify(self, item: int, window: np.ndarray, start: int, percent: int, best: dict) -> None:
         wanted = self.counts[item]
         own = Counter(window.tolist())
