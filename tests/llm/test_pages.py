@@ -119,3 +119,14 @@ def test_reader_refuses_damage():
     assert not warc.parsed(fields, block)["digests_ok"]
     with pytest.raises(ValueError):
         list(warc.read_records(io.BytesIO(warc.gzip_member(raw[:-4]))))
+
+
+def test_archives_with_wrong_digests_are_refused(spark, tmp_path):
+    sound = warc.record(1, "http://a.net/", b"hello", None, "d")
+    for name, raw in (("sound", sound), ("damaged", sound.replace(b"hello", b"jello"))):
+        (tmp_path / name).write_bytes(warc.gzip_member(raw))
+    read = {n: warc.read_archives(spark.createDataFrame([(f"file://{tmp_path}/{n}", 1, 1)], warc.MANIFEST)).select("page_id")
+            for n in ("sound", "damaged")}
+    assert [r.page_id for r in read["sound"].collect()] == [1]
+    with pytest.raises(Exception, match="a digest of the record at 0"):
+        read["damaged"].collect()

@@ -192,8 +192,8 @@ def read_archives(manifest: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
     """All records of the files named in ``manifest``, one file after the other within a task.
 
     A revisit has no payload, but the length and digest of the one it stands for.
-    ``digests_ok`` tells whether what was read agrees with both digests. A file that is cut
-    short, or whose lengths are wrong, raises an error.
+    A file that is cut short, or whose lengths are wrong, or a record that disagrees with one
+    of its digests, raises an error, so ``digests_ok`` is true in every row.
     """
     files = manifest.count()
     names = [f.strip().split()[0] for f in RECORDS.split(",")]
@@ -206,6 +206,8 @@ def read_archives(manifest: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
                 with store.open_input_file(name) as source:
                     for position, fields, block in read_records(source):
                         row = parsed(fields, block) | {"path": path, "position": position}
+                        if not row["digests_ok"]:
+                            raise ValueError(f"a digest of the record at {position} of {path} is wrong")
                         for n in names:
                             out[n].append(row[n])
                         size += len(block)
