@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmesh.llm import html, langid, lines, minhash, packing, projection, quality, quality_sql, simhash, urls, warc
+from trailmesh.llm import (
+    html,
+    langid,
+    lines,
+    minhash,
+    packing,
+    projection,
+    quality,
+    quality_sql,
+    repeats,
+    simhash,
+    urls,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -178,3 +191,68 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(table(spark, sf_dir, "pages"))
+
+
+def sql_crc32(text: str) -> str:
+    """The unsigned CRC-32 of ASCII text in DuckDB: a byte is mixed in, then eight single bits are shifted out."""
+    bits = ", -1" * 8
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+      string_split({text}, ''), lambda x: [ord(x)::BIGINT{bits}]))), lambda s, v: CASE
+      WHEN v >= 0 THEN xor(s, v) WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END))"""
+
+
+def repetitive(docs: DataFrame) -> DataFrame:
+    """Every tenth document, by its id's checksum, repeats a stretch of its words up to the end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    cut = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("w")).select(
+        "*", F.size("w").alias("n"), F.floor(F.col("h") / 10).alias("g"))
+    start, after = F.expr("int(g % n)"), F.expr("int(n - g % n)")
+    period = (1 + F.floor(after / (3 + F.col("g") % 8))).cast("int")
+    copies = F.array_repeat(F.slice("w", start + 1, period), F.ceil(after / period).cast("int"))
+    made = F.slice(F.concat(F.slice("w", F.lit(1), start), F.flatten(copies)), F.lit(1), F.col("n"))
+    return cut.select("doc_id", F.when(F.col("n") > 0, F.array_join(made, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query(f"""
+    WITH split AS (
+      SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+             {sql_crc32("doc_id::VARCHAR")} AS h FROM documents),
+    sized AS (SELECT *, len(w) AS n, h // 10 AS g FROM split),
+    placed AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM sized),
+    made AS (
+      SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i:
+               w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) END AS w
+      FROM placed),
+    words AS (SELECT doc_id, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM made),
+    pairs AS (
+      SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y
+      ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND (y.i - x.i) * 4 <= x.n),
+    islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs),
+    stretches AS (
+      SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY doc_id, q, island
+      HAVING count(*) + q >= greatest(6, 4 * q)),
+    runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY ALL),
+    gone AS (
+      SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+    kept AS (
+      SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY 1),
+    listed AS (
+      SELECT doc_id, count(*) AS n_runs,
+             string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t,
+             max((length, -start, -period)) AS best FROM runs GROUP BY 1)
+    SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, -best[2] AS start, best[1] AS length, -best[3] AS period,
+           1000 * best[1] // -best[3] AS exponent_milli, sha256(coalesce(l.t, '')) AS runs_sha256,
+           sha256(coalesce(k.t, '')) AS collapsed_sha256
+    FROM documents d LEFT JOIN listed l ON l.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id""")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.word_runs(repetitive(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
