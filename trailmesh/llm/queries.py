@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmesh.llm import (
+    bestfit,
     html,
     langid,
     lines,
@@ -193,6 +194,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(table(spark, sf_dir, "pages"))
 
 
+@query()
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = bestfit.pack_documents(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def sql_crc32(text: str) -> str:
     """The unsigned CRC-32 of ASCII text in DuckDB: a byte is mixed in, then eight single bits are shifted out."""
     bits = ", -1" * 8
