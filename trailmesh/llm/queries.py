@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trailmesh.llm import (
     bestfit,
+    burst,
     html,
     langid,
     lines,
@@ -208,6 +209,57 @@ def sql_crc32(text: str) -> str:
       WHEN v >= 0 THEN xor(s, v) WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END))"""
 
 
+def rebuilt(conversations: DataFrame) -> DataFrame:
+    """Conversations whose first turns, up to eight, are taken from the one whose id is the next lower multiple of 5."""
+    rows = burst.sequences(conversations)
+    width = burst.WIDTH
+    first = rows.filter("conv_id % 5 = 0").select(
+        F.col("conv_id").alias("_base"), F.expr(f"substring(ids, 1, 8 * {width})").alias("_ids"),
+        F.slice("sizes", 1, 8).alias("_sizes"))
+    marked = rows.withColumns({"h": (F.crc32(F.col("conv_id").cast("string")) % 9).cast("int"),
+                               "_to": F.expr("conv_id - conv_id % 5")})
+    joined = marked.join(first, F.col("_to") == F.col("_base"), "left")
+    return joined.select(
+        "conv_id",
+        F.expr(f"concat(substring(coalesce(_ids, X''), 1, h * {width}), substring(ids, h * {width} + 1))").alias("ids"),
+        F.expr("concat(slice(coalesce(_sizes, array()), 1, h), slice(sizes, h + 1, size(sizes)))").alias("sizes"))
+
+
+@query(f"""
+    WITH every AS (
+      SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS p FROM conversations),
+    ids AS (SELECT conv_id, {sql_crc32("conv_id::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM conversations)),
+    turns AS (
+      SELECT i.conv_id, e.p, role, text FROM ids i JOIN every e ON e.conv_id = i.conv_id - i.conv_id % 5 AND e.p < h
+      UNION ALL SELECT conv_id, p, role, text FROM ids JOIN every USING (conv_id) WHERE p >= h),
+    named AS (
+      SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY p) AS d, strlen(text) AS bytes,
+             dense_rank() OVER (ORDER BY role, text) AS t FROM turns),
+    steps AS (
+      SELECT conv_id, d, bytes, string_agg(t::VARCHAR, ',') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM named
+      UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+    ends AS (SELECT conv_id, max(d) AS last FROM steps GROUP BY 1),
+    nodes AS (
+      SELECT path, d, min(s.conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes,
+             string_agg(CASE WHEN d = last THEN s.conv_id::VARCHAR END, ',' ORDER BY s.conv_id) AS members
+      FROM steps s JOIN ends e ON e.conv_id = s.conv_id GROUP BY 1, 2),
+    up AS (
+      SELECT n.path, n.d, n.n_convs, n.bytes, s.path AS above, s.d AS above_d
+      FROM nodes n JOIN steps s ON s.conv_id = n.conv_id AND s.d <= n.d),
+    kids AS (SELECT above AS path, count(*) AS n_children FROM up WHERE above_d = d - 1 GROUP BY 1),
+    sums AS (
+      SELECT above AS path, sum((n_convs - 1) * bytes) AS saved, count(*) FILTER (n_children IS NULL) AS leaves
+      FROM up LEFT JOIN kids USING (path) GROUP BY 1)
+    SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+           leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(n.members, '')) AS ends_sha256
+    FROM nodes n JOIN sums USING (path) LEFT JOIN kids USING (path)
+    LEFT JOIN up u ON u.path = n.path AND u.d = n.d AND u.above_d = n.d - 1 LEFT JOIN nodes p ON p.path = u.above""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = burst.prefix_trie(rebuilt(table(spark, sf_dir, "conversations")))
+    return nodes.withColumnRenamed("ends", "ends_sha256")
+
+
 def repetitive(docs: DataFrame) -> DataFrame:
     """Every tenth document, by its id's checksum, repeats a stretch of its words up to the end."""
     h = F.crc32(F.col("doc_id").cast("string"))
