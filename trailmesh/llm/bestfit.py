@@ -217,7 +217,8 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str, capacity:
         for part in slices(batches, "text"):
             out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids", "task", "nth")}
             for doc, ids in zip(part.column("doc_id").to_pylist(), tokenizer.encode(part.column("text")), strict=True):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                ids = np.append(ids, np.uint32(end_id))
+                ids = ids.astype("<u2" if int(ids.max()) < 1 << 16 else "<u4")  # as short as they can be stored
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     cut = ids[start:start + capacity]
                     nth = seen[len(cut)] = seen.get(len(cut), -1) + 1
@@ -261,7 +262,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col: s
             at = np.searchsorted(key, length * most + number, "right") - 1
             number = number - table["first"][at]
             row, behind = np.divmod(number, table["each"][at])
-            yield {**{c: part.column(c) for c in ("doc_id", "piece", "start", "length", "ids")},
+            wide = [np.frombuffer(b, "<u2" if len(b) == 2 * n else "<u4").astype("<u4").tobytes()
+                    for b, n in zip(part.column("ids").to_pylist(), length.tolist(), strict=True)]
+            yield {**{c: part.column(c) for c in ("doc_id", "piece", "start", "length")}, "ids": wide,
                    "sequence_id": table["sequence"][at] + row, "offset": table["offset"][at] + behind * length}
 
     return map_batches(numbered, place, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, "

@@ -23,6 +23,7 @@ from trailmesh.llm import (
     urls,
     warc,
 )
+from trailmesh.session import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -211,7 +212,7 @@ def sql_crc32(text: str) -> str:
 
 def rebuilt(conversations: DataFrame) -> DataFrame:
     """Conversations whose first turns, up to eight, are taken from the one whose id is the next lower multiple of 5."""
-    rows = burst.sequences(conversations)
+    rows = checkpointed(burst.sequences(conversations))  # read twice
     width = burst.WIDTH
     first = rows.filter("conv_id % 5 = 0").select(
         F.col("conv_id").alias("_base"), F.expr(f"substring(ids, 1, 8 * {width})").alias("_ids"),
