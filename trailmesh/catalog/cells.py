@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trailmesh.catalog.registry import query
 from trailmesh.catalog.sqltext import raster
 from trailmesh.functions import geo
-from trailmesh.operators import grid, loops, paths, regions, sets, stats
+from trailmesh.operators import grid, loops, outlines, paths, regions, sets, stats
 
 O = ["owner_id"]
 
@@ -238,6 +238,93 @@ def _(d):
     return loops.merged_polygons(explored(d), O, 150_000).drop("comp")
 
 
+PATCHES = {
+    "patches": """
+SELECT DISTINCT (o_orderkey // 4000) % 5 AS owner_id, CAST(o_orderkey // 4000 * 61 + o_custkey % 60 AS INT) AS cell_x,
+       CAST((CAST(floor(o_totalprice) AS BIGINT) + o_orderkey) % 60 - 30 AS INT) AS cell_y FROM orders""",
+    "psides": """
+SELECT owner_id, cell_x + dx AS fx, cell_y + dy AS fy, dir, cell_x + dx + [1, 0, -1, 0][dir + 1] AS tx,
+       cell_y + dy + [0, 1, 0, -1][dir + 1] AS ty
+FROM patches c, (VALUES (0, 0, 0, 0, -1), (1, 1, 0, 1, 0), (2, 1, 1, 0, 1), (3, 0, 1, -1, 0)) s(dir, dx, dy, nx, ny)
+WHERE NOT EXISTS (SELECT 1 FROM patches n WHERE n.owner_id = c.owner_id AND n.cell_x = c.cell_x + nx
+                    AND n.cell_y = c.cell_y + ny)""",
+    # The side after each one: the turn to the left before straight on, before the turn to the right.
+    "pnext": """
+SELECT a.owner_id, a.fx, a.fy, a.dir, min(struct_pack(turn := (b.dir - a.dir + 5) % 4 * -1, dir := b.dir)).dir AS ndir
+FROM psides a JOIN psides b ON a.owner_id = b.owner_id AND b.fx = a.tx AND b.fy = a.ty AND (b.dir - a.dir + 4) % 4 <> 2
+GROUP BY ALL""",
+    "pturns": """
+SELECT n.owner_id, n.fx, n.fy, n.dir, n.ndir, n.fx + [1, 0, -1, 0][n.dir + 1] AS tx, n.fy + [0, 1, 0, -1][n.dir + 1] AS ty,
+       ((CAST(n.fx AS BIGINT) + 8388608) * 16777216 + n.fy + 8388608) * 4 + n.dir AS id FROM pnext n""",
+    "plink": """
+SELECT a.owner_id, a.id, b.id AS next, a.fx, a.fy, a.dir FROM pturns a JOIN pturns b
+ON a.owner_id = b.owner_id AND b.fx = a.tx AND b.fy = a.ty AND b.dir = a.ndir""",
+    "pwalk": """
+SELECT owner_id, id AS ring, id AS at, 0 AS step FROM plink
+UNION ALL SELECT w.owner_id, w.ring, l.next, w.step + 1 FROM pwalk w JOIN plink l
+ON l.owner_id = w.owner_id AND l.id = w.at AND l.next > w.ring""",
+    "prings": """
+SELECT w.owner_id, w.ring FROM pwalk w JOIN plink l ON l.owner_id = w.owner_id AND l.id = w.at AND l.next = w.ring""",
+    "pring_sides": """
+SELECT w.owner_id, w.ring, w.step, l.fx, l.fy, l.dir, l.next FROM pwalk w JOIN prings r ON r.owner_id = w.owner_id AND r.ring = w.ring
+JOIN plink l ON l.owner_id = w.owner_id AND l.id = w.at""",
+    "pcorners": """
+SELECT a.owner_id, a.ring, a.fx AS x, a.fy AS y, row_number() OVER (PARTITION BY a.owner_id, a.ring ORDER BY a.step) - 1 AS position
+FROM pring_sides a JOIN pring_sides b ON a.owner_id = b.owner_id AND a.ring = b.ring
+ AND b.next = ((CAST(a.fx AS BIGINT) + 8388608) * 16777216 + a.fy + 8388608) * 4 + a.dir WHERE a.dir <> b.dir""",
+    "pareas": """
+SELECT owner_id, ring, sum(CASE dir WHEN 0 THEN -fy WHEN 2 THEN fy ELSE 0 END) AS area,
+       arg_min(fx, step) AS sx, arg_min(fy, step) AS sy FROM pring_sides GROUP BY 1, 2""",
+    # Every ring that lies around the cell at another ring's first corner: its upright sides to the left are odd in number.
+    "paround": """
+SELECT r.owner_id, r.ring, r.area, s.ring AS outside, o.area AS outside_area FROM pareas r
+JOIN pring_sides s ON s.owner_id = r.owner_id AND s.ring <> r.ring AND s.dir IN (1, 3) AND s.fx <= r.sx
+ AND (CASE s.dir WHEN 1 THEN s.fy ELSE s.fy - 1 END) = r.sy
+JOIN pareas o ON o.owner_id = s.owner_id AND o.ring = s.ring
+GROUP BY ALL HAVING count(*) % 2 = 1""",
+    "pgone": "SELECT DISTINCT owner_id, ring FROM paround WHERE outside_area < 0 AND -outside_area * 225 <= 1000",
+}
+
+
+@query("geo5_rings", """
+SELECT a.owner_id, a.ring, corners, CAST(area AS BIGINT) AS area FROM pareas a JOIN (
+  SELECT owner_id, ring, count(*) AS corners FROM pcorners GROUP BY 1, 2) c ON c.owner_id = a.owner_id AND c.ring = a.ring""", PATCHES)
+def _(d):
+    """Every ring with its signed area in cells."""
+    return outlines.rings(outlines.ring_corners(d.patches, O), O)
+
+
+@query("geo5_ring_corners", "SELECT owner_id, ring, position, x, y FROM pcorners", PATCHES)
+def _(d):
+    return outlines.ring_corners(d.patches, O).select("owner_id", "ring", "position", "x", "y")
+
+
+@query("geo6_polygon_rings", """
+SELECT a.owner_id, a.ring AS polygon, a.ring, false AS hole, CAST(a.area AS BIGINT) AS area FROM pareas a
+ANTI JOIN pgone g ON g.owner_id = a.owner_id AND g.ring = a.ring WHERE a.area > 0
+UNION ALL
+SELECT h.owner_id, arg_min(outside, outside_area), h.ring, true, CAST(h.area AS BIGINT) FROM paround h
+WHERE h.area < 0 AND -h.area * 225 > 1000 AND outside_area > 0
+  AND NOT EXISTS (SELECT 1 FROM pgone g WHERE g.owner_id = h.owner_id AND g.ring = h.outside)
+GROUP BY h.owner_id, h.ring, h.area""", PATCHES)
+def _(d):
+    """Outer rings and open holes by polygon; holes of up to four cells are filled."""
+    corners = outlines.ring_corners(d.patches, O)
+    return outlines.polygon_rings(corners, O, 1000).drop("corners")
+
+
+@query("geo6_polygon_corners", """
+SELECT owner_id, ring AS polygon, ring, false AS hole, position, x, y FROM pcorners c
+WHERE EXISTS (SELECT 1 FROM pareas a WHERE a.owner_id = c.owner_id AND a.ring = c.ring AND a.area > 0)
+UNION ALL
+SELECT c.owner_id, polygon, c.ring, true, position, x, y FROM pcorners c JOIN (
+  SELECT owner_id, ring, arg_min(outside, outside_area) AS polygon FROM paround WHERE area < 0 AND outside_area > 0
+  GROUP BY 1, 2) h ON h.owner_id = c.owner_id AND h.ring = c.ring""", PATCHES)
+def _(d):
+    """Corners of the merged polygons of all patches, no hole filled."""
+    return outlines.polygon_corners(d.patches, O)
+
+
 @query("geo1_cells_of_keys", """
 SELECT DISTINCT concat(CAST(cell_x AS VARCHAR), ':', CAST(cell_y AS VARCHAR)) AS cell_key, cell_x, cell_y FROM cells""")
 def _(d):

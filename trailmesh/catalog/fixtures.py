@@ -86,6 +86,14 @@ class Data:
             "step_count",
         )
 
+    @cached_property
+    def patches(self) -> DataFrame:
+        """Scattered cells, about two thirds of squares of 60: islands, holes, islands in holes, touching corners."""
+        k, square = F.col("o_orderkey"), F.floor(F.col("o_orderkey") / 4000).cast("int")
+        return self.table("orders").select(
+            (square % 5).cast("long").alias("owner_id"), (square * 61 + F.col("o_custkey") % 60).cast("int").alias("cell_x"),
+            ((F.floor(F.col("o_totalprice")) + k) % 60 - 30).cast("int").alias("cell_y")).distinct()
+
     @cached_property
     def discards(self) -> DataFrame:
         return self.sessions.filter("session_id % 23 = 0").select("owner_id", "session_id")

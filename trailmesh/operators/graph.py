@@ -1,4 +1,4 @@
-"""Connected components of an edge list, by alternating star contraction."""
+"""Connected components by alternating star contraction, order on cycles by pointer doubling."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trailmesh.session import checkpointed
 
+
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(
         F.count(F.lit(1)), F.sum(F.xxhash64(*edges.columns).cast("decimal(38,0)"))
@@ -49,3 +50,28 @@ def component_roots(edges: DataFrame, keys: Sequence[str], a: str = "a", b: str
         if now == seen:
             return current.select(*keys, F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
+
+
+def cycle_positions(links: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, id, ring, position) for a relation (keys, id, next) in which every id is the next of one other.
+
+    The ring is the smallest id of a cycle, at position 0. Pointer doubling: in each round
+    every id learns the smallest one of twice as many that follow it, and how far away that
+    is; when nothing changes any more, all have seen their whole cycle.
+    """
+    keys = list(keys)
+    zero = F.lit(0).cast("long")
+    state = checkpointed(links.select(*keys, "id", F.col("next").alias("_to"), F.col("id").alias("ring"), zero.alias("_away")))
+    span, moved = 1, not state.isEmpty()
+    while moved:
+        ahead = state.select(*keys, F.col("id").alias("_to"), F.col("_to").alias("_next"), F.col("ring").alias("_ring"),
+                             F.col("_away").alias("_more"))
+        nearer = F.col("ring") <= F.col("_ring")
+        both = checkpointed(state.join(ahead, [*keys, "_to"]).select(
+            *keys, "id", F.col("_next").alias("_to"), F.least("ring", "_ring").alias("ring"),
+            F.when(nearer, F.col("_away")).otherwise(F.col("_more") + span).alias("_away"), (~nearer).alias("_moved")))
+        moved = not both.filter("_moved").isEmpty()
+        state, span = both.drop("_moved"), span * 2
+    sizes = state.groupBy(*keys, "ring").agg(F.count(F.lit(1)).alias("_size"))
+    return state.join(sizes, [*keys, "ring"]).select(
+        *keys, "id", "ring", F.pmod(F.col("_size") - F.col("_away"), F.col("_size")).alias("position"))
