@@ -87,7 +87,38 @@ def test_ring_assembly(spark):
                                     ("outer", [(a + 3, b) for a, b in square])], apart, branch, flat, [])
     assert found[0] == ([[(0, 0), (0, 1), (1, 1), (1, 0), (0, 0)]], [], 0)
     assert [len(x) for x in found[1][:2]] == [2, 1] and found[1][2] == 0
-    assert found[2] == ([], [], 2) and found[3] == ([], [], 3) and found[4] == ([], [], 1) and found[5] == ([], [], 0)
+    # The two halves close the ring before the piece that branches off is reached.
+    assert found[3] == ([[(0, 0), (0, 1), (1, 1), (1, 0), (0, 0)]], [], 1)
+    assert found[2] == ([], [], 2) and found[4] == ([], [], 1) and found[5] == ([], [], 0)
+
+
+def test_rings_that_meet_others(spark):
+    square = [(0, 0), (0, 1), (1, 1), (1, 0), (0, 0)]
+    touching = [(-1, -1), (-1, 0), (0, 0), (0, -1), (-1, -1)]
+    lens = [("outer", square[:3]), ("outer", [(0, 0), (2, 0), (1, 1)]), ("outer", square[2:])]
+    hair = 4e-7  # ends across a border of roundings meet, ends a micro-degree apart do not
+    found = rings_of(spark, [("outer", square), ("outer", touching)],
+                     [("outer", [(0, 0), (-1, -1)]), ("outer", square[:3]), ("outer", square[2:])],
+                     lens, [("outer", square[:3]), ("outer", [(1 + hair, 1 - hair), (1, 0), (hair, -hair)])],
+                     [("outer", square[:3]), ("outer", [(1 + 2e-6, 1), (1, 0), (0, 0)])])
+    assert found[0] == ([square, touching], [], 0)
+    assert found[1] == ([], [], 3)  # the spur comes first and leads away from the ring
+    assert found[2] == ([[(0, 0), (0, 1), (1, 1), (2, 0), (0, 0)]], [], 1)
+    assert len(found[3][0]) == 1 and found[3][2] == 0 and found[4][:1] == ([],) and found[4][2] == 2
+
+
+def test_many_pieces_at_one_place(spark):
+    spokes = [("outer", [(0, 0), (math.cos(k), math.sin(k))]) for k in range(3000)]
+    assert rings_of(spark, spokes)[0] == ([], [], 3000)
+
+
+def test_numbers_as_json_writes_them(spark):
+    from trailmesh.functions.text import plain_number
+
+    given = {0.0: "0", -0.0: "0", 0.0005: "0.0005", -0.00012: "-0.00012", 1e-6: "0.000001", 1.25e-6: "0.00000125", 5e-7: "5e-7",
+             -1.5e-9: "-1.5e-9", 0.001: "0.001", 45.0: "45", -180.0: "-180", 4.800001: "4.800001", 0.1: "0.1"}
+    df = spark.createDataFrame([(v,) for v in given], "v double")
+    assert [r[0] for r in df.select(plain_number(F.col("v"))).collect()] == list(given.values())
 
 
 def test_long_rings_are_put_together(spark):

@@ -94,6 +94,32 @@ class Data:
             (square % 5).cast("long").alias("owner_id"), (square * 61 + F.col("o_custkey") % 60).cast("int").alias("cell_x"),
             ((F.floor(F.col("o_totalprice")) + k) % 60 - 30).cast("int").alias("cell_y")).distinct()
 
+    @cached_property
+    def relations(self) -> DataFrame:
+        """A boundary relation per supplier: whole rings, touching ones, cut up, with a spur, or open; some near (0, 0)."""
+        s, kind = F.col("s_suppkey"), F.col("s_suppkey") % 5
+        lat0, lon0 = s * 700 - 7000, F.lit(9000) - s * 300
+
+        def points(*at) -> F.Column:
+            return F.array(*[F.struct((y / 1e6).alias("lat"), (x / 1e6).alias("lon")) for y, x in (
+                (lat0 + dy, lon0 + dx) for dy, dx in at)])
+
+        def pieces(*ways) -> F.Column:
+            return F.array(*[F.struct(F.lit("way").alias("type"), F.lit("outer").alias("role"), points(*w).alias("geometry"))
+                             for w in ways])
+
+        a, b, c, d = (0, 0), (0, 1000), (1000, 1000), (1000, 0)
+        spur, halves = (a, (-500, -500)), ((a, b, c), (a, d, c))
+        members = F.when(kind == 0, pieces((c, d), (b, a), (d, a), (b, c))).when(
+            kind == 1, pieces((a, b, c, d, a), (a, (0, -400), (-400, -400), (-400, 0), a))).when(
+            kind == 2, pieces(*halves, spur)).when(kind == 3, pieces(spur, *halves)).otherwise(
+            pieces((a, b), (b, c), (d, c)))
+        return self.table("supplier").select(
+            F.lit("relation").alias("type"), s.alias("id"), F.create_map(
+                F.lit("admin_level"), F.when(s % 2 == 0, "9").otherwise("8"), F.lit("name"), F.col("s_name")).alias("tags"),
+            F.lit(None).cast("struct<minlat:double,minlon:double,maxlat:double,maxlon:double>").alias("bounds"),
+            members.alias("members"))
+
     @cached_property
     def discards(self) -> DataFrame:
         return self.sessions.filter("session_id % 23 = 0").select("owner_id", "session_id")

@@ -270,6 +270,59 @@ def _(d):
     return d.zones.select("id", zones.fingerprint().alias("fingerprint"))
 
 
+RELATIONS = {
+    "rel": """
+SELECT s_suppkey AS k, s_suppkey % 5 AS kind, s_suppkey * 700 - 7000 AS y, 9000 - s_suppkey * 300 AS x, s_name FROM supplier""",
+}
+
+
+@query("geo9_relation_rings", """
+SELECT k AS id, CASE kind WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS outer_rings,
+       CASE kind WHEN 2 THEN 1 WHEN 3 THEN 3 WHEN 4 THEN 3 ELSE 0 END AS open_pieces,
+       CASE kind WHEN 0 THEN 2000.0 WHEN 1 THEN 2320.0 WHEN 2 THEN 2000.0 ELSE 0 END AS twice_area FROM rel""", RELATIONS)
+def _(d):
+    """Rings of relations in pieces: what closes, what stays open, and the area in 1e-9 square degrees."""
+    found = osm.relation_rings(d.relations)
+    area = F.aggregate("outer_rings", F.lit(0.0), lambda total, r: total + F.abs(osm.twice_signed_area(r)))
+    return found.select("id", F.size("outer_rings").alias("outer_rings"), "open_pieces", F.round(area * 1e9, 3).alias("twice_area"))
+
+
+@query("src4_relation_zones", """
+SELECT concat('relation/', k) AS id, CASE WHEN k % 2 = 0 THEN 'district' ELSE 'city' END AS type, s_name AS name,
+       CASE WHEN k % 2 = 0 THEN 9 ELSE 8 END AS admin_level,
+       CASE WHEN kind < 2 THEN 'openstreetmap' ELSE 'openstreetmap_incomplete_fallback' END AS source,
+       CASE kind WHEN 1 THEN 2 ELSE 1 END AS rings, CASE kind WHEN 1 THEN 10 ELSE 5 END AS points,
+       round((y - CASE kind WHEN 1 THEN 400 WHEN 2 THEN 500 WHEN 3 THEN 500 ELSE 0 END) / 1e6, 6) AS min_lat,
+       round((y + 1000) / 1e6, 6) AS max_lat FROM rel""", RELATIONS)
+def _(d):
+    """Boundary relations as zones: exact rings where every piece closes, else their box."""
+    found = osm.relation_zones(d.relations, F.timestamp_seconds(F.lit(0)))
+    lats = F.transform(F.flatten("rings"), lambda p: p["lat"])
+    return found.select("id", "type", "name", "admin_level", "source", F.size("rings").alias("rings"), F.size(lats).alias("points"),
+                        F.round(F.array_min(lats), 6).alias("min_lat"), F.round(F.array_max(lats), 6).alias("max_lat"))
+
+
+def _near_zero(dy: int, dx: int) -> str:
+    """A corner by whole micro-degrees, without zeros at the end."""
+    def number(v: str) -> str:
+        return f"regexp_replace(regexp_replace(printf('%.6f', ({v}) / 1e6), '0+$', ''), '[.]$', '')"
+
+    return (f"chr(123), '\"latitude\":', {number(f'y + {dy}')}, ',\"longitude\":', {number(f'x + {dx}')}, chr(125)")
+
+
+@query("geo14_relation_fingerprints", """
+SELECT k AS id, concat('fnv1a:', lpad(lower(to_hex(h)), 8, '0')) AS fingerprint FROM zhash WHERE i = length(txt)""", {
+    **HASHED, **RELATIONS,
+    "ztxt": "SELECT k, concat(chr(123), '\"holes\":[],\"outer\":[[', " + ", '],[', ".join(
+        ", ',', ".join(_near_zero(*c) for c in ring) for ring in (
+            ((0, 0), (0, 1000), (1000, 1000), (1000, 0), (0, 0)), ((0, 0), (0, -400), (-400, -400), (-400, 0), (0, 0)))
+    ) + ", ']]', chr(125)) AS txt FROM rel WHERE kind = 1"})
+def _(d):
+    """Fingerprints of the touching rings, some of them within a thousandth of a degree of the equator or the meridian."""
+    whole = osm.relation_zones(d.relations.filter("id % 5 = 1"), F.timestamp_seconds(F.lit(0)))
+    return whole.select(F.regexp_extract("id", "[0-9]+", 0).cast("long").alias("id"), zones.fingerprint().alias("fingerprint"))
+
+
 @query("geo3_sources_in_zones", """
 SELECT c.owner_id, z.id AS zone_id, c.source, count(*) AS cells FROM (
   SELECT DISTINCT owner_id, cell_x, cell_y, source, degrees((cell_x * 15 + 7.5) / 6378137.0) AS c_lon,

@@ -23,6 +23,16 @@ def fnv1a32(text: Column) -> Column:
     )
 
 
+def plain_number(value: Column) -> Column:
+    """A double as JSON writes it: no decimals if whole, digits down to 0.000001, then a short exponent."""
+    text = F.regexp_replace(value.cast("string"), r"\.0(?=E|$)", "")
+    digits = F.replace(F.regexp_extract(text, r"^-?([\d.]+)E", 1), F.lit("."))
+    zeros = F.repeat(F.lit("0"), F.regexp_extract(text, r"E-(\d+)$", 1).cast("int") - 1)
+    small = F.abs(value).between(1e-6, 1e-3) & text.contains("E-")
+    return F.when(value == 0, "0").when(
+        small, F.concat(F.when(value < 0, "-0.").otherwise("0."), zeros, digits)).otherwise(F.replace(text, F.lit("E"), F.lit("e")))
+
+
 def base36(number: Column) -> Column:
     return F.lower(F.conv(number.cast("string"), 10, 36))
 

@@ -12,7 +12,7 @@ from trailmesh.functions.geo import (
     cell_centre_lat, cell_centre_lon, cell_x, cell_y, crosses_ray, haversine_m, mercator_x, near_bucket,
     one_decimal_percent,
 )
-from trailmesh.functions.text import fnv1a32
+from trailmesh.functions.text import fnv1a32, plain_number
 from trailmesh.operators.grid import CELL
 from trailmesh.operators.regions import TILE, cut_at_tiles
 
@@ -35,13 +35,16 @@ def selectable(zones: DataFrame, zone_type: str) -> DataFrame:
 
 def fingerprint() -> Column:
     """Hash of the geometry text; equal for equal rings and holes."""
-    def named(rings: Column) -> Column:
-        return F.transform(rings, lambda r: F.transform(
-            r, lambda p: F.struct(p["lat"].alias("latitude"), p["lon"].alias("longitude"))))
+    def point(p: Column) -> Column:
+        return F.concat(F.lit('{"latitude":'), plain_number(p["lat"]), F.lit(',"longitude":'), plain_number(p["lon"]), F.lit("}"))
 
-    text = F.to_json(F.struct(named(F.col("holes")).alias("holes"), named(F.col("rings")).alias("outer")))
-    # Numbers in their shortest form: whole degrees have no decimals.
-    text = F.regexp_replace(text, r"(\d)\.0(?=[,}\]])", "$1")
+    def listed(items: Column) -> Column:
+        return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+
+    def written(rings: str) -> Column:
+        return listed(F.transform(rings, lambda r: listed(F.transform(r, point))))
+
+    text = F.concat(F.lit('{"holes":'), written("holes"), F.lit(',"outer":'), written("rings"), F.lit("}"))
     return F.concat(F.lit("fnv1a:"), F.lower(F.lpad(F.hex(fnv1a32(text)), 8, "0")))
 
 
