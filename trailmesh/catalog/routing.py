@@ -100,13 +100,48 @@ def _(d):
     return joins.agg(F.count(F.lit(1)).alias("joins"), F.round(F.sum("dist_m"), 2).alias("metres"))
 
 
-@query("joi11_bridged_gaps")
+CTES["gap_limit"] = """
+SELECT session_id, step_no, p_lat, p_lon, lat AS e_lat, lon AS e_lon, d AS straight, dt AS seconds,
+       greatest(d * 2.25, d + 250) AS most FROM gapx"""
+# Every way without repeated nodes that can still be short enough.
+CTES["ways_on"] = """
+SELECT h.session_id, h.step_no, h.no AS start_no, h.snap AS start_snap, h.node, h.h AS dist, [h.node] AS passed FROM hook h WHERE side = 0
+UNION ALL
+SELECT w.session_id, w.step_no, w.start_no, w.start_snap, a.b, w.dist + a.len, list_append(w.passed, a.b)
+FROM ways_on w JOIN adj a ON a.a = w.node
+JOIN gap_limit g ON g.session_id = w.session_id AND g.step_no = w.step_no
+WHERE NOT list_contains(w.passed, a.b)
+  AND w.start_snap + w.dist + a.len + {hav:CAST(split_part(a.b, ':', 1) AS DOUBLE) / 1e6|CAST(split_part(a.b, ':', 2) AS DOUBLE) / 1e6|g.e_lat|g.e_lon} <= g.most + 0.000001"""
+CTES["all_routes"] = """
+SELECT w.session_id, w.step_no, start_no, e.no AS end_no, start_snap, e.snap AS end_snap, dist + e.h AS street, len(passed) AS nodes
+FROM ways_on w JOIN hook e ON e.session_id = w.session_id AND e.step_no = w.step_no AND e.side = 1 AND e.node = w.node
+UNION ALL
+SELECT s.session_id, s.step_no, s.no, e.no, s.snap, e.snap, {hav:s.s_lat|s.s_lon|e.s_lat|e.s_lon}, 0
+FROM sn s JOIN sn e ON e.session_id = s.session_id AND e.step_no = s.step_no AND s.side = 0 AND e.side = 1 AND s.ek = e.ek"""
+CTES["bridged"] = """
+SELECT r.*, start_snap + street + end_snap AS route, g.straight FROM (
+  SELECT *, row_number() OVER (PARTITION BY session_id, step_no ORDER BY round(start_snap + street + end_snap, 6), start_no, end_no, nodes) AS best
+  FROM all_routes) r
+JOIN gap_limit g ON g.session_id = r.session_id AND g.step_no = r.step_no
+WHERE best = 1 AND start_snap + street + end_snap <= most AND (seconds <= 0 OR street / seconds <= 4)"""
+
+
+@query("joi11_bridged_gaps", """
+SELECT session_id, step_no, round(route, 3) AS route_m, round(start_snap, 3) AS start_snap_m, round(end_snap, 3) AS end_snap_m,
+       CASE WHEN start_snap <= 12 AND end_snap <= 12 AND route <= greatest(straight * 1.35, straight + 60) THEN 'high'
+            ELSE 'medium' END AS confidence FROM bridged""")
 def _(d):
     out = routing.bridge_gaps(gaps(d), d.streets)
     return out.select("session_id", "step_no", F.round("route_m", 3).alias("route_m"),
                       F.round("start_snap_m", 3).alias("start_snap_m"), F.round("end_snap_m", 3).alias("end_snap_m"), "confidence")
 
 
+@query("joi11_route_nodes", "SELECT session_id, step_no, nodes FROM bridged")
+def _(d):
+    """How many street vertices each route passes, found back through the vertices before."""
+    return routing.bridge_gaps(gaps(d), d.streets).select("session_id", "step_no", F.size("path").alias("nodes"))
+
+
 @query("job1_frozen_routes")
 def _(d):
     lines = jobs.freeze_routes(d.points, d.streets).lines
