@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import time
 
 import pytest
 
@@ -67,6 +68,34 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+ARTICLE = "<p>It's a long first paragraph, with commas, and words.</p><p>Another one's here, too, and it is long enough.</p>"
+PLAIN = "It's a long first paragraph, with commas, and words.\n\nAnother one's here, too, and it is long enough."
+
+
+@pytest.mark.parametrize("page", [
+    f"<article><div title=it's>{ARTICLE}</div></article>",
+    f"<div class='site-content no-sidebar'>{ARTICLE}</div>", f'<div class="post has-comments">{ARTICLE}</div>',
+    f"<div id=widget class=sidebar>{ARTICLE}</div>",  # nothing else is there
+    f"<div class='has-header'>{ARTICLE}</div>", f"<div class=content>{ARTICLE}<div class='comment-list'><p>A reader, again, says so.</p></div></div>",
+    f"<div class=wide><div class='content'>{ARTICLE}</div><div class='side-bar left'><p>Other things, and more, and more yet.</p></div></div>",
+    f"<div a=\"<p>x'\" b='\"' c = d/e>{ARTICLE}</div>", f'<div class="a" "b" =c>{ARTICLE}</div  x="y>">',
+    f"<main>{ARTICLE}<aside class=x>More, of the same, and so on.</aside></main>",
+])
+def test_articles_survive_names_and_quotes(page):
+    assert html.main_text(page) == PLAIN
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 300_000 + '"', "<a b='" * 150_000, "<div>" * 50_000 + "</x>" * 150_000, "<b>" * 60_000 + "<hr>" * 100_000,
+    "<b>" * 60_000 + "<td>" * 100_000, "<" * 1_000_000, "<!--" * 250_000, "<p>, words, and more of these words, " * 25_000,
+    "<div>" * 20_000 + "<p>some words, and more, and yet more words" * 2_000,
+])
+def test_time_grows_with_the_page_only(page):
+    began = time.perf_counter()
+    html.main_text(page)
+    assert time.perf_counter() - began < 10
+
+
 def test_deep_page_is_survived():
     assert html.main_text("<div>" * 3000 + "<p>deep down, here" + "</div>" * 10) == "deep down, here"
 

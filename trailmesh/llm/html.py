@@ -2,16 +2,22 @@
 
 Paragraphs earn points for their length and their commas and pass them to their ancestors,
 in full to the nearest one and less to those further up. A container's points are discounted
-by the share of its text that stands in links. The best container is kept together with
-those of its siblings that read like part of the same article.
+by the share of its text that stands in links, and by a name that hints at something else. The
+best container is kept together with those of its siblings that read like part of the article.
+
+Containers are left out before scoring only if a whole name says what they are; if nothing
+is left then, the page is read once more without regard to names. Reading takes time in
+proportion to the page, whatever its markup.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,10 +25,15 @@ from pyspark.sql import functions as F
 
 from trailmesh.llm.arrow import map_batches, slices
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# An ordinary tag behind its name; values reach no further than the next tag, so a try costs little.
+SIMPLE = re.compile(
+    r"""((?:\s+[^\s"'<>/=]+(?:\s*=\s*(?:"[^"<]*"|'[^'<]*'|[^\s"'=<>`]+))?)*+)\s*(/?)>""")
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+GAP = re.compile(r"[\s/]*")
+ATTRIBUTE_NAME = re.compile(r"[^\s/>][^\s/>=]*")
+EQUALS = re.compile(r"\s*=\s*")
+BARE = re.compile(r"[^\s>]*")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # Fixed element names of HTML.
@@ -54,11 +65,24 @@ UNLIKELY = frozenset(
     "newsletter notice notices overlay pager pagination paywall popup promo promoted promotion recommended related "
     "replies reply respond rss share sharing sidebar signup skip social sponsor sponsored subscribe subscription "
     "toolbar widget widgets".split())
+JOINED = re.compile(r"side-?bar|pop-?up|sign-?up|log-?in|ad-?(?:box|slot|unit|wrap(?:per)?|container)", re.I)
+#: Words that change nothing about what a name says.
+FILLERS = frozenset(
+    "area bar block bottom box button buttons container inner item items left link links list outer panel right section "
+    "site slot top unit wrap wrapper".split())
+LIKELY = frozenset(
+    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments "
+    "commentlist consent cookie cookies disclaimer disqus footer gdpr header masthead menu modal nav navbar navigation "
+    "newsletter notice notices overlay pager pagination paywall popup promo promoted promotion recommended related "
+    "replies reply respond rss share sharing sidebar signup skip social sponsor sponsored subscribe subscription "
+    "toolbar widget widgets".split())
 JOINED = re.compile(r"(?:^|[-_ ])(?:side-?bar|pop-?up|sign-?up|log-?in|ad-?(?:box|slot|unit|wrap(?:per)?|container))"
                     r"(?:$|[-_ ])", re.I)
 LIKELY = frozenset("article body content entry hentry main page post story text".split())
 PARAGRAPHS = frozenset({"p", "pre", "blockquote", "td", "li", "dd"})
 KEEPERS = frozenset({"article", "main", "body", "html"})
+#: So many containers above a paragraph get points from it.
+LEVELS = 32
 
 
 @dataclass(slots=True)
@@ -67,6 +91,7 @@ class Node:
     parent: Node | None
     names: frozenset = frozenset()
     dropped: bool = False
+    doubtful: bool = False
     children: list = field(default_factory=list)  # nodes and texts
     points: float = 0.0
     text_length: int = 0
@@ -77,88 +102,142 @@ class Node:
         return self.link_length / self.text_length if self.text_length else 0.0
 
 
-def attributes(source: str) -> dict[str, str]:
-    return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(source)}
+def says(label: str, words: frozenset) -> bool:
+    """Whether one of the names in a label consists of such words and fillers alone."""
+    for name in label.split():
+        parts = {x.lower() for x in NAME_PARTS.findall(name)}
+        if parts & words and parts <= words | FILLERS or words is UNLIKELY and JOINED.fullmatch(name):
+            return True
+    return False
 
 
-def unwanted(tag: str, given: dict[str, str], names: frozenset, in_article: bool) -> bool:
+def unwanted(tag: str, given: dict[str, str], names: frozenset, in_article: bool, by_name: bool) -> bool:
     if tag in DROPPED or "hidden" in given or given.get("aria-hidden") == "true" or given.get("role") in ROLES:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", ""), re.I):
         return True
+    label = f"{given.get('class', '')} {given.get('id', '')}" if by_name else ""
     if tag in KEEPERS:  # an article of reader comments is one all the same
-        return tag == "article" and bool(names & {"comment", "comments", "ad", "ads", "promo", "sponsored"})
-    if tag == "header" or "header" in names:  # inside an article it holds the title
+        return tag == "article" and says(label, frozenset({"comment", "comments", "ad", "ads", "promo", "sponsored"}))
+    if tag == "header" or says(label, frozenset({"header"})):  # inside an article it holds the title
         return not in_article
-    label = f"{given.get('class', '')} {given.get('id', '')}"
-    return bool(names & UNLIKELY) or (len(label) > 1 and bool(JOINED.search(label)))
+    return says(label, UNLIKELY)
+
 
+def read_tag(html: str, at: int) -> tuple[dict[str, str], int, bool]:
+    """(attributes, end, closes itself) of the tag whose name ends at ``at``; the end is -1 if the page ends first.
 
-def parse(html: str) -> Node:
+    A quote matters only behind an equals sign.
+    """
+    simple = SIMPLE.match(html, at)
+    if simple:
+        given = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(simple[1])} if simple[1] else {}
+        return given, simple.end(), bool(simple[2])
+    given: dict[str, str] = {}
+    while True:
+        gap = GAP.match(html, at)
+        at = gap.end()
+        if at >= len(html):
+            return given, -1, False
+        if html[at] == ">":
+            return given, at + 1, gap[0].endswith("/")
+        name = ATTRIBUTE_NAME.match(html, at)
+        value, at = "", name.end()
+        equals = EQUALS.match(html, at)
+        if equals:
+            at = equals.end()
+            quote = html[at:at + 1]
+            if quote in ('"', "'") and quote:
+                end = html.find(quote, at + 1)
+                if end < 0:
+                    return given, -1, False
+                value, at = html[at + 1:end], end + 1
+            else:
+                bare = BARE.match(html, at)
+                value, at = bare[0], bare.end()
+        given.setdefault(name[0].lower(), unescape(value))
+
+
+def parse(html: str, by_name: bool = True) -> Node:
     """A tree of the page; end tags that are missing are supplied, stray ones ignored."""
     root = Node("html", None)
-    here, at, size = root, 0, len(html)
+    path = [root]  # the open elements, and where those of each name stand among them
+    open_at: dict[str, list[int]] = {"html": [0]}
+    text_from = at = 0
+    size = len(html)
 
-    def add(text: str) -> None:
-        if text:
-            here.children.append(text)
+    def leave(depth: int) -> None:
+        while len(path) > depth:
+            open_at[path.pop().tag].pop()
 
-    while at < size:
-        m = MARKUP.search(html, at)
-        if m is None:
-            rest = html[at:]
-            add(rest)
+    def nearest(tags) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=-1)
+
+    while True:
+        at = html.find("<", at)
+        if at < 0 or at + 1 >= size:
             break
-        add(html[at:m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:].removesuffix("]]>"))
+        sign = html[at + 1]
+        if sign in "!?":
+            if text_from < at:
+                path[-1].children.append(html[text_from:at])
+            if html.startswith("<!--", at):
+                end, close = html.find("-->", at + 4), 3
+            elif html.startswith("<![CDATA[", at):
+                end, close = html.find("]]>", at + 9), 3
+                path[-1].children.append(html[at + 9:end if end >= 0 else size])
+            else:
+                end, close = html.find(">", at), 1
+            text_from = at = size if end < 0 else end + close
             continue
-        tag = tag.lower()
-        if m[1]:
-            node = here
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node.parent is not None:
-                here = node.parent
+        m = TAG_NAME.match(html, at + (2 if sign == "/" else 1))
+        if m is None:
+            at += 1
+            continue
+        if text_from < at:
+            path[-1].children.append(html[text_from:at])
+        given, end, closes_itself = read_tag(html, m.end())
+        text_from = at = size if end < 0 else end
+        if end < 0:
+            break
+        tag = m[0].lower()
+        if sign == "/":
+            depth = nearest((tag,))
+            if depth > 0:
+                leave(depth)
             continue
-        if tag in CLOSES_PARAGRAPH:
-            node = here
-            while node.tag not in BLOCKS and node.parent is not None:
-                node = node.parent
-            if node.tag == "p":
-                here = node.parent
+        if tag in CLOSES_PARAGRAPH and open_at.get("p"):
+            depth = nearest(BLOCKS)
+            if path[depth].tag == "p":
+                leave(depth)
         if tag in CLOSES:
             ended, shields = CLOSES[tag]
-            node, top = here, None
-            while node is not None and node.tag not in shields:
-                if node.tag in ended:
-                    top = node
-                node = node.parent
-            if top is not None:
-                here = top.parent
-        if tag in ("html", "body") and (tag == "html" or any(n.tag == "body" for n in lineage(here))):
+            shield = nearest(shields)
+            outermost = [open_at[t][i] for t in ended if t in open_at
+                         and (i := bisect_right(open_at[t], shield)) < len(open_at[t])]
+            if outermost:
+                leave(min(outermost))
+        if tag == "html" or tag == "body" and open_at.get("body"):
             continue
-        given = attributes(m[3]) if m[3] else {}
         names = frozenset()
-        if "class" in given or "id" in given:
-            label = f"{given.get('class', '')} {given.get('id', '')}"
-            names = frozenset(x.lower() for x in NAME_PARTS.findall(label))
-        headed = tag == "header" or "header" in names
-        in_article = headed and any(n.tag in ("article", "main") for n in lineage(here))
-        node = Node(tag, here, names, unwanted(tag, given, names, in_article))
-        here.children.append(node)
-        if tag in VOID or (m[3] and m[3].rstrip().endswith("/") and tag not in BLOCKS and tag not in RAW):
+        if by_name and ("class" in given or "id" in given):
+            names = frozenset(x.lower() for x in NAME_PARTS.findall(f"{given.get('class', '')} {given.get('id', '')}"))
+        in_article = bool(open_at.get("article") or open_at.get("main"))
+        node = Node(tag, path[-1], names, unwanted(tag, given, names, in_article, by_name))
+        node.doubtful = bool(names & UNLIKELY) and not names & LIKELY
+        path[-1].children.append(node)
+        if tag in VOID or closes_itself and tag not in BLOCKS and tag not in RAW:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(html, at)
-            node.children.append(html[at:end.start() if end else size])
-            close = html.find(">", end.end()) if end else -1
-            at = close + 1 if close >= 0 else size
+            ends = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(html, at)
+            node.children.append(html[at:ends.start() if ends else size])
+            close = html.find(">", ends.end()) if ends else -1
+            text_from = at = close + 1 if close >= 0 else size
             continue
-        here = node
+        open_at.setdefault(tag, []).append(len(path))
+        path.append(node)
+    if text_from < size:
+        path[-1].children.append(html[text_from:])
     return root
 
 
@@ -235,7 +314,7 @@ def score(root: Node) -> list[Node]:
         own = node.text_length if not loose else sum(len(c.strip()) for c in node.children if isinstance(c, str))
         points = 1 + own / 100 + (commas[0] - before_commas) * (1 if not loose else own / node.text_length)
         start = node if loose else node.parent
-        for level, ancestor in enumerate(lineage(start)):
+        for level, ancestor in enumerate(islice(lineage(start), LEVELS)):
             if ancestor.tag == "html":
                 break
             ancestor.points += points / (1 if level == 0 else 2 if level == 1 else level * 3)
@@ -245,7 +324,7 @@ def score(root: Node) -> list[Node]:
 
 def final_points(node: Node) -> float:
     weight = 1.0 + 0.25 * bool(node.names & LIKELY or node.tag in ("article", "main"))
-    return node.points * (1 - node.density) * weight
+    return node.points * (1 - node.density) * weight * (0.3 if node.doubtful else 1.0)
 
 
 def article_blocks(root: Node) -> list[str]:
@@ -273,7 +352,9 @@ def article_blocks(root: Node) -> list[str]:
 
 def main_text(html: str | None) -> str:
     """The article of a page, blocks separated by an empty line; empty for null or empty input."""
-    return "\n\n".join(article_blocks(parse(html))) if html else ""
+    if not html:
+        return ""
+    return "\n\n".join(article_blocks(parse(html)) or article_blocks(parse(html, by_name=False)))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
