@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 #: Names that operators use inside; as extra input columns they must do no harm.
 CLASHING = ("rep", "root", "n", "doc", "body", "part", "label", "kept", "score", "rank", "name", "_id", "_key", "_gone",
-            "q", "p", "words", "payload", "digest", "copies", "held_out")
+            "q", "p", "words", "payload", "digest", "copies", "held_out", "n_removed", "_row", "id")
 
 
 def clash(df):

@@ -136,6 +136,13 @@ def test_vectors_equal_all_pairs(spark, window, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
 
 
+def test_vectors_that_share_an_id_are_apart(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.999, 0.01]
+    rows = [(1, a, "x"), (1, b, "x"), (2, c, "x"), (3, [0.0, 0.0, 1.0], "x")]
+    got = projection.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert projection.near_duplicates(df).collect() == []

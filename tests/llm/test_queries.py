@@ -8,12 +8,13 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from check import TABLES, canonical
 from tests.llm import brute
-from tests.llm.awkward import texts
+from tests.llm.awkward import clash, texts
 from trailmesh.llm import queries
 
 FOLDER = "/root/testdata/sf0.001"
@@ -34,7 +35,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_number_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def rest_of(docs, con):
@@ -69,7 +70,8 @@ def test_pipeline_equals_plain_stages(spark):
 def test_stages_survive_awkward_rows(spark):
     schema = spark.read.parquet(f"{FOLDER}/documents.parquet").schema
     rows = [(i, t, None if i == 3 else "en", None, len(t or "")) for i, t in texts()]
-    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+    given = spark.createDataFrame(rows, schema)
+    for docs in (clash(given).withColumn("n_lines", F.lit(1)), given, spark.createDataFrame([], schema)):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, FOLDER)
             assert out.columns == docs.columns

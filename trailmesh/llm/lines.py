@@ -383,7 +383,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                            least_words: int = 10) -> DataFrame:
-    """``docs`` with ``text_col`` cleaned, and the columns ``n_lines`` and ``n_removed`` added.
+    """``docs`` with ``text_col`` cleaned, and the columns ``n_lines`` and ``n_removed`` added, or put in place of such.
 
     Lines are compared without white space at their ends. A run of lines is deleted if it has
     at least ``least_words`` words and the same run begins earlier: in a document with a
@@ -403,6 +403,7 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     kept = F.filter(lines, lambda x, i: ~F.array_contains("_gone", i))
     some = F.exists(kept, lambda x: _bare(x) != "")
     cleaned = F.when(F.col("_gone").isNull(), text).when(some, F.array_join(kept, "\n")).otherwise("")
-    columns = [(cleaned if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns]
+    columns = [(cleaned if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns
+               if c not in ("n_lines", "n_removed")]
     return joined.select(*columns, F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"),
                          F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
