@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences, in stages that are each written and read again.
 
 Every stage takes ``(spark, docs, sf_dir)``. All but the last return the columns of
-``documents``. Documents without an id are never rejected, since no decision names them.
+``documents``, other columns included, whatever their names. In every stage a null text counts as an
+empty one and is kept as it is, an empty table gives an empty one, and rows that repeat an id and a
+text share one decision. Documents without an id are never rejected, since no decision names them.
 """
 
 from __future__ import annotations
@@ -31,11 +33,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines are cut out; a document that consists of them goes."""
-    cleaned = lines.without_repeated_lines(docs)
-    emptied = (F.col("n_removed") > 0) & (F.col("text") == "")
-    return cleaned.filter(~F.coalesce(emptied, F.lit(False))).withColumn(
-        "n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    ).select(*docs.columns)
+    # The columns travel inside a struct: any of them may be called like those that are added.
+    cleaned = lines.without_repeated_lines(docs.select("doc_id", "text", F.struct("*").alias("_row")))
+    changed = F.col("n_removed") > 0
+    kept = cleaned.filter(~F.coalesce(changed & (F.col("text") == ""), F.lit(False)))
+    new = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("_row.n_chars"))}
+    return kept.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
