@@ -184,6 +184,26 @@ def _(d):
     return zones.best_zone(d.observations, d.zones, ["observation_id"]).select("observation_id", "zone_id", "rank")
 
 
+@query("joi15_next_zone", """
+SELECT owner_id, arg_min(zone_id, score) AS zone_id, min(CASE WHEN inside THEN 0 ELSE 1 END) AS rank
+FROM (SELECT p.owner_id, z.id AS zone_id, inside, CASE WHEN inside THEN 0 ELSE 1e9 + dist END AS score
+      FROM (SELECT o.owner_id, z.id,
+                   o.lat >= z.min_lat AND o.lat < z.max_lat AND o.lon >= z.min_lon AND o.lon < z.max_lon AS inside,
+                   {hav:o.lat|o.lon|(z.min_lat + z.max_lat) / 2|(z.min_lon + z.max_lon) / 2} AS dist
+            FROM (SELECT owner_id, arg_max(lat, observation_id) AS lat, arg_max(lon, observation_id) AS lon
+                  FROM obs GROUP BY owner_id) o CROSS JOIN zones z) p
+      JOIN zones z ON z.id = p.id
+      WHERE NOT EXISTS (SELECT 1 FROM zcomp c WHERE c.owner_id = p.owner_id AND c.zone_id = p.id))
+GROUP BY owner_id""", SMALL)
+def _(d):
+    """From the last fix of each walker the nearest small district in which nothing is explored yet."""
+    where = d.observations.groupBy("owner_id").agg(
+        F.max_by("lat", "observation_id").alias("lat"), F.max_by("lon", "observation_id").alias("lon"))
+    areas = small_zones(d)
+    begun = zones.cells_in_zones(explored(d), areas).select("owner_id", "zone_id").distinct()
+    return zones.next_zone(where, areas, begun, ["owner_id"]).select("owner_id", "zone_id", "rank")
+
+
 @query("joi16_streets_in_zones", """
 SELECT DISTINCT s.id AS segment_id, z.id AS zone_id FROM (
   SELECT id, lat1 AS lat, lon1 AS lon FROM streets UNION ALL SELECT id, lat2, lon2 FROM streets) s

@@ -14,6 +14,7 @@ from trailmesh.functions.geo import (
 )
 from trailmesh.functions.text import fnv1a32, plain_number
 from trailmesh.operators.grid import CELL
+from trailmesh.operators.nearest import near_places
 from trailmesh.operators.regions import TILE, cut_at_tiles
 
 EXACT_SOURCE = "openstreetmap"
@@ -268,36 +269,40 @@ def zone_centres(zones: DataFrame) -> DataFrame:
         F.col("id").alias("zone_id"), mean("lat").alias("c_lat"), mean("lon").alias("c_lon"))
 
 
+def _first_by_distance(held: DataFrame, near: DataFrame, ids: list[str]) -> DataFrame:
+    """Per point the zone that holds it (rank 0), otherwise the nearest one (rank 1); ties go to the smaller id."""
+    within = held.select(*ids, "zone_id", F.lit(0).alias("rank"), F.lit(0.0).alias("distance_m"))
+    beside = near.select(*ids, "zone_id", F.lit(1).alias("rank"), "distance_m")
+    best = within.unionByName(beside).groupBy(*ids).agg(F.min(F.struct("rank", "distance_m", "zone_id")).alias("_b"))
+    return best.select(*ids, "_b.zone_id", "_b.rank", "_b.distance_m")
+
+
 def best_zone(points: DataFrame, zones: DataFrame, point_id: Sequence[str]) -> DataFrame:
-    """The zone that holds each point, otherwise the one with the nearest centre.
+    """The zone that holds each point, otherwise the one with the nearest centre."""
+    ids = list(point_id)
+    held = points_in_zones(points, zones, ids)
+    open_points = points.select(*ids, "lat", "lon").distinct().join(held.select(*ids), ids, "left_anti")
+    centres = zone_centres(zones).withColumnsRenamed({"c_lat": "lat", "c_lon": "lon"})
+    return _first_by_distance(held, near_places(open_points, centres, ids, "zone_id"), ids)
 
-    The nearest centre is looked for in the 3x3 tiles around the point, with tiles of
-    growing size for the points where a nearer centre outside cannot be ruled out; the
-    last tile is the world.
+
+def next_zone(points: DataFrame, zones: DataFrame, passed_over: DataFrame, point_id: Sequence[str]) -> DataFrame:
+    """The eligible zone to go for next: the one that holds the point, otherwise the nearest.
+
+    ``passed_over`` has rows (point_id, zone_id) of zones not to be named: completed for good, or
+    the one already selected. A point with every zone passed over has no row. Points repeat no id.
     """
     ids = list(point_id)
-    held = points_in_zones(points, zones, ids).groupBy(*ids).agg(F.min("zone_id").alias("zone_id")).select(
-        *ids, "zone_id", F.lit(0).alias("rank"), F.lit(0.0).alias("distance_m"))
-    open_points = points.select(*ids, "lat", "lon").distinct().join(held.select(*ids), ids, "left_anti")
-    centres = zone_centres(zones)
-    found = held
-    for degrees in (0.1, 2.0, 720.0):
-        last = degrees > 360
-        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-                           for i in ((0,) if last else (-1, 0, 1)) for j in ((0,) if last else (-1, 0, 1))])
-        tile = (lambda c: F.lit(0).cast("long")) if last else (lambda c: near_bucket(c, degrees))
-        placed = centres.select("*", F.explode(around).alias("o")).select(
-            "zone_id", "c_lat", "c_lon", (tile("c_lat") + F.col("o.i")).alias("_ty"), (tile("c_lon") + F.col("o.j")).alias("_tx"))
-        tried = open_points.select(*ids, "lat", "lon", tile("lat").alias("_ty"), tile("lon").alias("_tx")).join(
-            placed, ["_ty", "_tx"])
-        best = tried.groupBy(*ids, "lat", "lon").agg(F.min(F.struct(
-            haversine_m("lat", "lon", "c_lat", "c_lon").alias("d"), "zone_id")).alias("_b"))
-        safe = F.lit(degrees * 110_000.0) * F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat") + 2 * degrees)))
-        settled = best if last else best.filter(F.col("_b.d") <= safe)
-        found = found.unionByName(settled.select(
-            *ids, "_b.zone_id", F.lit(1).alias("rank"), F.col("_b.d").alias("distance_m")))
-        open_points = open_points.join(settled.select(*ids), ids, "left_anti")
-    return found
+    spots, passed = points.select(*ids, "lat", "lon"), passed_over.select(*ids, "zone_id").distinct()
+    offered = zones.filter(is_eligible())
+    held = points_in_zones(spots, offered, ids).join(passed, [*ids, "zone_id"], "left_anti")
+    # With as many zones more than are passed over, one of them is left.
+    wanted = passed.groupBy(*ids).agg((F.count(F.lit(1)) + 1).alias("_wanted"))
+    open_points = spots.join(held.select(*ids), ids, "left_anti").join(wanted, ids, "left").withColumn(
+        "_wanted", F.coalesce("_wanted", F.lit(1)))
+    centres = zone_centres(offered).withColumnsRenamed({"c_lat": "lat", "c_lon": "lon"})
+    near = near_places(open_points, centres, ids, "zone_id", "_wanted").join(passed, [*ids, "zone_id"], "left_anti")
+    return _first_by_distance(held, near, ids)
 
 
 def merge_zones(stored: DataFrame, arrived: DataFrame) -> DataFrame:
