@@ -57,6 +57,36 @@ def test_journal_to_points(spark, tmp_path):
     assert changed_recordings(spark, ingest, 0).count() == 1
 
 
+def test_batches_read_touched_buckets_only(spark, tmp_path):
+    """Files of a bucket do not grow with the batches, and a batch that broke off is made good."""
+    ingest = Ingest(str(tmp_path / "store"), buckets=16)
+    start, end = (datetime.fromtimestamp(BASE + t, timezone.utc) for t in (0, 1000))
+    sessions = spark.createDataFrame(
+        [(1, s, start, end) for s in range(1, 5)],
+        "owner_id long, session_id long, started_at timestamp, ended_at timestamp")
+
+    def lines(batch, session):
+        doc = {"id": f"d{batch}", "createdAt": iso(0), "version": 2, "ownerId": 1, "preferredSessionId": session,
+               "points": [fix(t, 2 * t) for t in range(batch, 60, 6)]}
+        return spark.createDataFrame([(json.dumps(doc),)], "value string")
+
+    def process(batch, session):
+        ingest.process(lines(batch, session), batch, sessions, F.timestamp_seconds(F.lit(BASE + 200)))
+
+    for batch, session in enumerate((1, 2, 1, 1)):
+        process(batch, session)
+    stored = ingest.observations(spark)
+    assert stored.count() == 40
+    spots = {r.session_id: r.bucket for r in stored.select("session_id", "bucket").distinct().collect()}
+    mine = stored.filter(F.col("bucket") == spots[1])
+    assert len({r.f for r in mine.select(F.input_file_name().alias("f")).collect()}) == 1
+    # The last batch ended after it had emptied its bucket: run again, it finds all rows in what it merged.
+    stored.filter("false").drop("bucket").write.mode("overwrite").parquet(f"{ingest.table('observations')}/bucket={spots[1]}")
+    process(3, 1)
+    assert ingest.observations(spark).count() == 40
+    assert ingest.points(spark).filter("session_id = 1").count() == 30
+
+
 def test_live_state_equals_batch(spark, tmp_path):
     rng = random.Random(4)
     rows = [(1, s, BASE + 3 * i, 45.75 + (i * 2 + (900 if rng.random() < 0.1 else 0)) * 1e-5, 4.8,

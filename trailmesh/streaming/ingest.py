@@ -1,14 +1,17 @@
 """Journal files to recordings: at-least-once delivery, late data, dead letters.
 
 Every micro-batch writes only folders named after its id, so that a batch that runs
-again replaces its own output and nothing else. Points are written per touched
-recording; readers take the newest version of each.
+again replaces its own output and nothing else. Observations alone are kept by hash
+bucket of their recording, and a batch reads and replaces the buckets it touches. Points
+are written per touched recording; readers take the newest version of each.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -55,10 +58,15 @@ def batch_fixes(parsed: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Ingest:
-    """Tables of the ingestion below one shared folder."""
+    """Tables of the ingestion below one shared folder.
+
+    ``buckets`` is fixed once the first batch is stored. A touched bucket is written again as a
+    whole, so choose it for buckets of one file or a few.
+    """
 
     root: str
     grace_seconds: int = K.GRACE_SECONDS
+    buckets: int = 4096
 
     def table(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -68,16 +76,42 @@ class Ingest:
 
     def _read(self, spark: SparkSession, name: str, schema: str, only: Column) -> DataFrame:
         """All batches of a table that fulfil ``only``; empty while there are none."""
-        empty = spark.createDataFrame([], f"{schema}, batch BIGINT")
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.table(name))
-        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            return empty
-        stored = spark.read.schema(f"{schema}, batch BIGINT").option("basePath", self.table(name)).parquet(self.table(name))
-        return stored.filter(only)
+        return self._stored(spark, self.table(name), f"{schema}, batch BIGINT").filter(only)
+
+    @staticmethod
+    def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+        """The table below ``path``; empty while nothing is written there."""
+        try:
+            return spark.read.schema(schema).option("basePath", path).parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], schema)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*RECORDING), F.lit(self.buckets)).cast("int")
 
-    def observations(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
-        only = F.lit(True) if upto is None else F.col("batch") <= upto
-        return self._read(spark, "observations", OBSERVATION, only)
+    def observations(self, spark: SparkSession) -> DataFrame:
+        return self._stored(spark, self.table("observations"), f"{OBSERVATION}, bucket INT")
+
+    def _merge(self, spark: SparkSession, batch_id: int, fresh: DataFrame) -> DataFrame:
+        """Stored and fresh observations of the touched buckets, written before any bucket is replaced.
+
+        What earlier attempts at the same batch wrote is read too: one of them may have ended while
+        it replaced a bucket. An observation that is met twice counts once.
+        """
+        touched = [r.bucket for r in fresh.select(self._bucket().alias("bucket")).distinct().collect()]
+        attempts = self.table(f"merged/batch={batch_id}")
+        known = self.observations(spark).filter(F.col("bucket").isin(touched)).unionByName(
+            self._stored(spark, attempts, f"{OBSERVATION}, bucket INT, attempt STRING").drop("attempt"))
+        merged = known.unionByName(fresh.withColumn("bucket", self._bucket())).dropDuplicates([*RECORDING, "arrival"])
+        here = f"{attempts}/attempt=a{uuid.uuid4().hex}"
+        merged.write.parquet(here)
+        return spark.read.schema(f"{OBSERVATION}, bucket INT").parquet(here)
+
+    def _replace_buckets(self, merged: DataFrame) -> None:
+        merged.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "bucket").parquet(self.table("observations"))
 
     def points(self, spark: SparkSession) -> DataFrame:
         """The newest points of each recording."""
@@ -106,9 +140,10 @@ class Ingest:
         self._write(placed.filter("outcome = 'ignored'").select(*fields), "ignored", batch_id)
         fresh = placed.filter("outcome = 'assigned'").select(
             *RECORDING, "ts", "lat", "lon", "accuracy", F.col("fix_id").alias("arrival"))
-        self._write(fresh, "observations", batch_id)
-        touched = spark.read.parquet(f"{self.table('observations')}/batch={batch_id}").select(*RECORDING).distinct()
-        mine = self.observations(spark, batch_id).drop("batch").join(touched, list(RECORDING), "left_semi")
+        touched = fresh.select(*RECORDING).distinct()
+        merged = self._merge(spark, batch_id, fresh)
+        self._replace_buckets(merged)
+        mine = merged.drop("bucket").join(touched, list(RECORDING), "left_semi")
         self._write(canonical_points(mine), "points", batch_id)
         # The change notice comes last: readers see a version only when it is whole.
         self._write(touched, "changes", batch_id)
