@@ -136,6 +136,55 @@ def test_vectors_equal_all_pairs(spark, window, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
 
 
+def around_a_centre(n, pairs, mutual, cosine=0.981, size=64, seed=9):
+    """Unit vectors of about the cosine ``mutual``; vector 2k + 1 stands at ``cosine`` to vector 2k for the first pairs."""
+    rng = np.random.default_rng(seed)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    x = unit(np.sqrt(mutual) * unit(rng.standard_normal(size)) + np.sqrt(1 - mutual) * unit(rng.standard_normal((n, size))))
+    a, away = x[0:2 * pairs:2], rng.standard_normal((pairs, size))
+    away = unit(away - (away * a).sum(axis=1, keepdims=True) * a)
+    x[1:2 * pairs:2] = cosine * a + np.sqrt(1 - cosine ** 2) * away
+    return x
+
+
+@pytest.mark.parametrize("mutual", [0.0, 0.9])
+def test_pairs_are_found_around_a_centre(spark, mutual):
+    x = around_a_centre(6000, 500, mutual)
+    df = spark.createDataFrame([(k, v.tolist(), "one") for k, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in projection.near_duplicates(df).collect()}
+    links = x @ x.T >= 0.98
+    groups = Groups()
+    for a, b in np.argwhere(links).tolist():
+        groups.join(a, b)
+    assert got == {k: (int(links[k].sum()) - 1, groups.find(k)) for k in range(len(x))}
+
+
+def test_window_reaches_over_partitions_of_few_rows(spark):
+    """One pass over partitions far smaller than the window compares the same rows as over one partition."""
+    x = around_a_centre(400, 100, 0.5)
+    df = spark.createDataFrame([(k, v.tolist(), "one") for k, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for partitions in (1, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            got.append(sorted(map(tuple, projection.near_duplicates(df, window=40, most_passes=1).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] and 0 < sum(not r[3] for r in got[0]) < 100
+
+
+def test_passes_grow_with_size_and_density():
+    def passes(n, mutual):
+        x = around_a_centre(256, 0, mutual)
+        return projection.passes_for(x, x.mean(axis=0), n, 512, 0.98, 1e-6, 10_000)
+
+    assert passes(500, 0.9) == 1 < passes(5_000, 0.0) < passes(10 ** 8, 0.0)
+    assert passes(50_000, 0.0) < passes(50_000, 0.8) < passes(50_000, 0.9)
+
+
 def test_vectors_that_share_an_id_are_apart(spark):
     a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.999, 0.01]
     rows = [(1, a, "x"), (1, b, "x"), (2, c, "x"), (3, [0.0, 0.0, 1.0], "x")]
