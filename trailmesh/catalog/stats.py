@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trailmesh.catalog.cells import explored, route_lines, walked
 from trailmesh.catalog.registry import query
-from trailmesh.operators import clean, grid, paths, quality, sessions, stats
+from trailmesh.operators import clean, grid, paths, position, quality, sessions, stats
 
 R = ["owner_id", "session_id"]
 
@@ -233,6 +233,58 @@ def _(d):
     return quality.latest_positions(d.observations).select("owner_id", F.unix_seconds("ts").alias("t_s"), "accuracy", "lat", "lon")
 
 
+# Some fixes lie off the map; a fix is seen up to 58 seconds after its time.
+ARRIVALS = {"arrivals": """
+SELECT o.owner_id, o.session_id, o.observation_id AS arrival, o.t_s, o.t_s + o.observation_id % 59 AS seen_s,
+       CASE WHEN o.observation_id % 31 = 0 THEN o.lat + 90 ELSE o.lat END AS y, o.lon AS x, o.accuracy,
+       coalesce(v.verdict = 'accepted', false) AS on_route,
+       row_number() OVER (PARTITION BY o.owner_id ORDER BY o.observation_id) AS k
+FROM obs o LEFT JOIN verdicts v ON v.session_id = o.session_id AND v.t_s = o.t_s""", "shown": """
+SELECT owner_id, k, y <= 90 AS adopted, CASE WHEN y <= 90 THEN t_s END AS now_s FROM arrivals WHERE k = 1
+UNION ALL
+SELECT owner_id, k, moves, CASE WHEN moves THEN t_s ELSE now_s END
+FROM (SELECT a.owner_id, a.k, a.t_s, s.now_s, a.y <= 90 AND (s.now_s IS NULL
+             OR (a.t_s >= s.now_s AND (a.on_route OR coalesce(a.accuracy <= 30, false)))) AS moves
+      FROM shown s JOIN arrivals a ON a.owner_id = s.owner_id AND a.k = s.k + 1)"""}
+
+
+def adopted(d):
+    """Observations in the order of their ids, with the decision to show them."""
+    routes = d.verdicts.filter("verdict = 'accepted'").select(*R, "ts").withColumn("on_route", F.lit(True))
+    i = F.col("observation_id")
+    arrivals = d.observations.join(routes, [*R, "ts"], "left").withColumn(
+        "lat", F.when(i % 31 == 0, F.col("lat") + 90).otherwise(F.col("lat"))).withColumn(
+        "seen_at", F.timestamp_seconds(F.unix_seconds("ts") + i % 59))
+    return position.adopted_positions(arrivals, F.floor(F.col("arrival") / 100_000))
+
+
+@query("win9_adopted_positions", """
+SELECT a.owner_id, a.arrival, a.t_s, a.on_route, s.adopted FROM arrivals a JOIN shown s USING (owner_id, k)""", ARRIVALS)
+def _(d):
+    return adopted(d).select("owner_id", "arrival", F.unix_seconds("ts").alias("t_s"),
+                             F.coalesce("on_route", F.lit(False)).alias("on_route"), "adopted")
+
+
+@query("win9_startup_centre", """
+SELECT session_id, first_arrival, arrival <> first_arrival AS upgraded, arrival, t_s, accuracy, reliable FROM centre
+QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY k DESC) = 1""", {**ARRIVALS, "candidate": """
+SELECT a.*, a.on_route OR coalesce(a.accuracy <= 20, false) AS reliable,
+       row_number() OVER (PARTITION BY a.session_id ORDER BY a.k) AS n
+FROM arrivals a JOIN shown s USING (owner_id, k) WHERE s.adopted AND (a.on_route OR a.seen_s - a.t_s <= 30)""", "centre": """
+SELECT session_id, n AS k, n, arrival AS first_arrival, arrival, t_s, accuracy, reliable FROM candidate WHERE n = 1
+UNION ALL
+SELECT session_id, k, n, first_arrival, CASE WHEN up THEN b_arrival ELSE arrival END, CASE WHEN up THEN b_t ELSE t_s END,
+       CASE WHEN up THEN b_accuracy ELSE accuracy END, reliable OR up
+FROM (SELECT c.session_id, b.n AS k, b.n, c.first_arrival, c.arrival, c.t_s, c.accuracy, c.reliable, b.arrival AS b_arrival,
+             b.t_s AS b_t, b.accuracy AS b_accuracy,
+             NOT c.reliable AND b.reliable AND b.t_s >= c.t_s AND coalesce(CASE WHEN c.accuracy IS NULL THEN b.accuracy <= 20
+               ELSE c.accuracy - b.accuracy >= greatest(10, c.accuracy * 0.25) END, false) AS up
+      FROM centre c JOIN candidate b ON b.session_id = c.session_id AND b.n = c.n + 1)"""})
+def _(d):
+    return position.startup_centres(adopted(d).filter("adopted"), R).select(
+        "session_id", "first_arrival", "upgraded", "arrival", F.unix_seconds("ts").alias("t_s"), "accuracy", "reliable")
+
+
 @query("flt10_live_quality", """
 SELECT session_id, score, CASE WHEN score >= 80 THEN 'Good' WHEN score >= 55 THEN 'OK' ELSE 'Poor' END AS label
 FROM (SELECT session_id, greatest(0, 100

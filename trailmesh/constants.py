@@ -7,6 +7,13 @@ MIN_STEP_M = 1.0
 MAX_CONFIRMED_STEP_M = 15.0
 MAX_CONFIRMED_STEP_S = 6.0
 
+# First centre of a map: what can be an accuracy, what is reliable, what is a gain.
+STARTUP_POSSIBLE_ACCURACY_M = 100.0
+STARTUP_LOCK_ACCURACY_M = 20.0
+STARTUP_MAX_AGE_S = 30.0
+STARTUP_MIN_GAIN_M = 10.0
+STARTUP_MIN_GAIN_SHARE = 0.25
+
 # Earth radii: great-circle distance and Web Mercator differ on purpose.
 HAVERSINE_RADIUS_M = 6371000.0
 MERCATOR_RADIUS_M = 6378137.0
