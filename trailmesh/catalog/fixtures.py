@@ -179,6 +179,20 @@ class Data:
             F.timestamp_seconds(F.lit(0)).alias("fetched_at"),
         )
 
+    @cached_property
+    def blocks(self) -> DataFrame:
+        """A rectangular zone per supplier."""
+        s = F.col("s_suppkey")
+        south, west = F.lit(45750000) + (s % 200) * 1500, F.lit(4800000) + F.floor(s / 200).cast("long") * 3000
+        north, east = south + 700 + (s % 7) * 300, west + 900 + (s % 5) * 400
+        ring = F.array(*[F.struct((y / 1e6).alias("lat"), (x / 1e6).alias("lon"))
+                         for y, x in ((south, west), (south, east), (north, east), (north, west))])
+        return self.table("supplier").select(
+            F.concat(F.lit("relation/"), s.cast("string")).alias("id"), F.lit("district").alias("type"), F.col("s_name").alias("name"),
+            F.lit(None).cast("string").alias("parent_zone_id"), F.lit(9).alias("admin_level"), F.lit("openstreetmap").alias("source"),
+            F.array(ring).alias("rings"), F.array().cast("array<array<struct<lat:double,lon:double>>>").alias("holes"),
+            F.timestamp_seconds(F.lit(0)).alias("fetched_at"))
+
     @cached_property
     def medals(self) -> DataFrame:
         m = F.col("s_suppkey") % 150

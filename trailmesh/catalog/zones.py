@@ -55,6 +55,62 @@ def _(d):
     return zones.zone_totals(d.zones)
 
 
+def suppliers(zone_id: str = "id"):
+    return F.regexp_extract(zone_id, "([0-9]+)$", 1).cast("long")
+
+
+# The rectangles of the suppliers, and the cells with their centre inside: rows times columns.
+BLOCKS = {
+    "blocks": """
+SELECT s_suppkey AS k, (45750000 + s_suppkey % 200 * 1500) / 1e6 AS min_lat,
+       (45750000 + s_suppkey % 200 * 1500 + 700 + s_suppkey % 7 * 300) / 1e6 AS max_lat,
+       (4800000 + s_suppkey // 200 * 3000) / 1e6 AS min_lon,
+       (4800000 + s_suppkey // 200 * 3000 + 900 + s_suppkey % 5 * 400) / 1e6 AS max_lon FROM supplier""",
+    "brows": """
+SELECT k, count(*) AS n FROM (SELECT k, min_lat, max_lat, unnest(range(CAST(floor({mercy:min_lat} / 15) AS INT) - 1,
+  CAST(floor({mercy:max_lat} / 15) AS INT) + 2)) AS y FROM blocks)
+WHERE degrees(atan(exp((y * 15 + 7.5) / 6378137.0)) * 2 - pi() / 2) >= min_lat
+  AND degrees(atan(exp((y * 15 + 7.5) / 6378137.0)) * 2 - pi() / 2) < max_lat GROUP BY k""",
+    "bcols": """
+SELECT k, count(*) AS n FROM (SELECT k, min_lon, max_lon, unnest(range(CAST(floor({mercx:min_lon} / 15) AS INT) - 1,
+  CAST(floor({mercx:max_lon} / 15) AS INT) + 2)) AS x FROM blocks)
+WHERE degrees((x * 15 + 7.5) / 6378137.0) >= min_lon AND degrees((x * 15 + 7.5) / 6378137.0) < max_lon GROUP BY k"""}
+
+
+@query("agg13_refreshed_totals", """
+SELECT concat('relation/', CAST(r.k AS VARCHAR)) AS zone_id, r.k % 4 = 0 AS reused,
+       CASE WHEN r.k % 4 = 0 THEN 100000 + r.k ELSE r.n * c.n END AS total_cells
+FROM brows r JOIN bcols c ON c.k = r.k""", BLOCKS)
+def _(d):
+    """Every fourth total is stored for the present shape, every fourth for another one or another cell size, others not at all."""
+    k = suppliers("zone_id")
+    counts = d.blocks.select(F.col("id").alias("zone_id")).withColumn("total_cells", 100_000 + k)
+    stored = zones.stored_totals(d.blocks, counts).filter(k % 4 != 3).withColumns({
+        "geometry_fingerprint": F.when(k % 4 == 1, "fnv1a:00000000").otherwise(F.col("geometry_fingerprint")),
+        "cell_size_m": F.when(k % 4 == 2, 2 * F.col("cell_size_m")).otherwise(F.col("cell_size_m"))})
+    return zones.refreshed_totals(d.blocks, stored).select("zone_id", "reused", "total_cells")
+
+
+@query("set6_dependents_of_zones", """
+SELECT c_custkey AS owner_id, concat('relation/', CAST(s_suppkey AS VARCHAR)) AS zone_id,
+       CASE WHEN s_suppkey % 4 = 2 THEN concat('New ', s_name) ELSE s_name END AS name
+FROM customer JOIN supplier ON s_suppkey = c_custkey // 15 + 1 WHERE s_suppkey % 4 <> 1""")
+def _(d):
+    """Of the zones a fourth arrives as a fallback of another shape, a fourth with another shape, a fourth with a new name."""
+    k = suppliers()
+    north = F.transform("rings", lambda ring: F.transform(
+        ring, lambda p: F.struct((p["lat"] + 0.001).alias("lat"), p["lon"].alias("lon"))))
+    arrived = d.blocks.filter(k % 4 != 3).withColumns({
+        "source": F.when(k % 4 == 0, "openstreetmap_incomplete_fallback").otherwise("openstreetmap"),
+        "name": F.when(k % 4 == 1, F.col("name")).otherwise(F.concat(F.lit("New "), F.col("name"))),
+        "rings": F.when(k % 4 == 2, F.col("rings")).otherwise(north)})
+    snapshots = d.table("customer").select(
+        F.col("c_custkey").alias("owner_id"),
+        F.concat(F.lit("relation/"), (F.floor(F.col("c_custkey") / 15) + 1).cast("string")).alias("zone_id"))
+    merged, (kept,) = zones.replace_zones(d.blocks, arrived, snapshots)
+    return kept.join(merged.select(F.col("id").alias("zone_id"), "name"), "zone_id").select("owner_id", "zone_id", "name")
+
+
 def asked_zones(d):
     """Every walker asks for two zones, whether or not they have been there."""
     owner = F.col("owner_id")

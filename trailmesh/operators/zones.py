@@ -16,6 +16,7 @@ from trailmesh.functions.text import fnv1a32, plain_number
 from trailmesh.operators.grid import CELL
 from trailmesh.operators.nearest import near_places
 from trailmesh.operators.regions import TILE, cut_at_tiles
+from trailmesh.operators.sets import changed_keys, upsert
 
 EXACT_SOURCE = "openstreetmap"
 OFFICIAL_LEVEL = 9
@@ -115,6 +116,32 @@ def zone_totals(zones: DataFrame) -> DataFrame:
         "zone_id", "box_cells", F.coalesce("_n", F.lit(0)).cast("long").alias("total_cells"))
 
 
+def stored_totals(zones: DataFrame, totals: DataFrame) -> DataFrame:
+    """Totals as they are kept: with the cell size and the fingerprint of the geometry they were counted for."""
+    stamps = zones.select(F.col("id").alias("zone_id"), F.lit(K.CELL_M).alias("cell_size_m"),
+                          fingerprint().alias("geometry_fingerprint"))
+    return stamps.join(totals.select("zone_id", "total_cells"), "zone_id")
+
+
+def refreshed_totals(zones: DataFrame, stored: DataFrame) -> DataFrame:
+    """(zone_id, cell_size_m, geometry_fingerprint, total_cells, reused) for every zone with a ring.
+
+    Stored totals of the same cell size and fingerprint are taken over. Only zones without one are cut
+    into edges and counted; rows of the store whose zone is gone or has another shape fall away.
+    Rows that repeat a zone in the store count once, the largest total.
+    """
+    keys = ["zone_id", "cell_size_m", "geometry_fingerprint"]
+    current = zones.select("*", F.col("id").alias("zone_id"), F.lit(K.CELL_M).alias("cell_size_m"),
+                           fingerprint().alias("geometry_fingerprint"))
+    known = stored.groupBy(*keys).agg(F.max("total_cells").alias("total_cells")).filter(F.col("total_cells").isNotNull())
+    reused = known.join(current.select(*keys), keys, "left_semi")
+    missing = current.join(known.select(*keys), keys, "left_anti").select(*zones.columns)
+    counted = stored_totals(missing, zone_totals(missing))
+    columns = [*keys, F.col("total_cells").cast("long").alias("total_cells")]
+    return reused.select(*columns, F.lit(True).alias("reused")).unionByName(
+        counted.select(*columns, F.lit(False).alias("reused")))
+
+
 def cells_in_zones(cells: DataFrame, zones: DataFrame) -> DataFrame:
     """Cells with every zone that holds their centre: an equi-join on grid row and tile."""
     spans = cut_at_tiles(zone_spans(zones)).select("zone_id", F.col("y").alias("cell_y"), "tx", "x0", "x1")
@@ -307,11 +334,24 @@ def next_zone(points: DataFrame, zones: DataFrame, passed_over: DataFrame, point
 
 def merge_zones(stored: DataFrame, arrived: DataFrame) -> DataFrame:
     """Upsert of zones: an exact polygon is never replaced by a fallback, otherwise the arrived one counts."""
-    from trailmesh.operators.sets import upsert
-
     return upsert(stored, arrived, ["id"], [F.col("source") == EXACT_SOURCE])
 
 
+def replace_zones(stored: DataFrame, arrived: DataFrame,
+                  *dependents: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """The zones after ``merge_zones``, and each dependent table (keyed by zone_id) without rows of other shapes.
+
+    What was computed for a zone goes only if an accepted arrival has another geometry; a refused fallback, a
+    new name and zones that did not arrive leave it as it is.
+    """
+    merged = merge_zones(stored, arrived)
+    touched = arrived.select("id")
+    before = stored.join(touched, "id", "left_semi").select("id", fingerprint().alias("shape"))
+    after = merged.join(touched, "id", "left_semi").select("id", fingerprint().alias("shape"))
+    changed = changed_keys(before, after, "id", "shape").withColumnRenamed("id", "zone_id")
+    return merged, tuple(d.join(changed, "zone_id", "left_anti").select(*d.columns) for d in dependents)
+
+
 def parts_in_zones(parts: DataFrame, zones: DataFrame) -> DataFrame:
     """Street parts with a vertex inside a zone."""
     vertices = parts.select(F.col("id").alias("segment_id"), F.posexplode("coords").alias("vertex_no", "v")).select(
