@@ -234,3 +234,31 @@ def test_no_word_is_left_out_of_the_language_model(spark):
         assert [r.doc_id for r in found] == list(range(90))
         assert [r.lang_pred for r in found] == [plain[k][0] for k in range(90)]
         assert np.allclose([r.score for r in found], [plain[k][1] for k in range(90)], atol=1e-4)
+
+
+def test_rim_of_a_crowded_group_is_linked(spark):
+    """Thousands of near copies crowd each other out of any window; every link among them counts."""
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(48)
+    x = base / np.linalg.norm(base) + 0.03 * rng.standard_normal((2500, 48))
+    rows = [(i, v.tolist(), "one") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.98
+    np.fill_diagonal(hit, False)
+    root = np.arange(len(x))
+    while True:
+        now = np.minimum(root, np.where(hit, root, len(x)).min(axis=1))
+        if (now == root).all():
+            break
+        root = now
+    got = {r.vec_id: (r.n_links, r.component_id) for r in projection.near_duplicates(df, window=8, block=300).collect()}
+    assert 0 < hit.sum() and got == {i: (int(hit[i].sum()), int(root[i])) for i in range(len(x))}
+
+
+def test_connected_is_the_first_column_reached():
+    hit = np.zeros((4, 6), bool)
+    hit[[0, 0, 1, 1, 2], [2, 4, 4, 5, 1]] = True
+    rows, columns = projection.connected(hit)
+    assert rows.tolist() == [2, 2, 1, 6]
+    assert columns.tolist() == [0, 1, 2, 3, 2, 2]

@@ -1,5 +1,11 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by pairs of blocks, or by sorted projection passes.
 
+The vectors of a label are dealt to blocks by their signs under random directions through the
+label's mean. Every pair of blocks is compared in full, unless the balls around the two blocks
+are further apart than two linked vectors can be. So every link is found; a group holds two
+blocks, and leaves counts and one edge per connected vector.
+
+A caller that names a number of passes gets a search that can miss links instead.
 Each pass writes a vector's signs under its own random directions one after the other, sorts
 all vectors by these bits, and compares every vector with the ``window`` before it. Vectors
 at a small angle share long prefixes of their bits in most passes, so they stand close in
@@ -26,6 +32,7 @@ from trailmesh.session import checkpointed
 
 BITS = 62
 FOUND = "kind int, a long, b long, part int, side int, place long, pass int, label string, vec binary"
+MOST_NUMBERS = 1 << 22  # in the vectors of one block
 
 
 def usable(vector: Column) -> Column:
@@ -304,8 +311,121 @@ def _counted(members: DataFrame, threshold: float, block: int) -> DataFrame:
     return counted.groupBy("rep").agg(F.sum("links").alias("links"))
 
 
+def _blocks(vectors: DataFrame, block: int, seed: int) -> DataFrame:
+    """(label, block, rep, copies, vec): vectors dealt to blocks that hold near ones together.
+
+    A label is cut into cells by as many signs as it has doublings of a block; cells that hold
+    more are cut by a hash. Blocks of large labels are larger, up to four times ``block``.
+    """
+    rows = F.least(F.greatest(F.lit(block), F.least(F.lit(4 * block), F.ceil(F.col("n") / 8))),
+                   F.greatest(F.lit(1), F.floor(F.lit(MOST_NUMBERS) / F.size("mean"))))
+    sizes = _means(vectors).withColumn("rows", rows.cast("long")).withColumn(
+        "signs", F.greatest(F.lit(0), F.least(F.lit(30), F.floor(F.log2(F.col("n") / F.col("rows"))).cast("int"))))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch, x in by_size(batches):
+            signs, d = batch.column("signs")[0].as_py(), x.shape[1]
+            directions = np.random.default_rng([seed, d]).standard_normal((d, 30))[:, :signs]
+            above = (x - np.array(batch.column("mean")[0].as_py())) @ directions >= 0
+            yield {"label": batch.column("label"), "cell": above @ (1 << np.arange(signs, dtype=np.int64)),
+                   **{c: batch.column(c) for c in ("rows", "rep", "copies", "vec")}}
+
+    columns = "label string, cell long, rows long, rep long, copies long, vec array<double>"
+    placed = checkpointed(map_batches(vectors.join(sizes, "label"), work, columns))
+    pieces = placed.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / F.max("rows")).alias("_pieces"))
+    piece = F.pmod(F.xxhash64("rep"), F.col("_pieces"))
+    return checkpointed(placed.join(pieces, ["label", "cell"]).select(
+        "label", (F.shiftleft("cell", 32) + piece).alias("block"), "rep", "copies", "vec"))
+
+
+def _vectors(table: pa.Table) -> np.ndarray:
+    flat = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return unit_rows(flat.reshape(table.num_rows, -1))
+
+
+def _block_pairs(placed: DataFrame, threshold: float) -> DataFrame:
+    """(label, lo, hi) of the blocks that may hold linked vectors, by the balls around them."""
+
+    def ball(table: pa.Table) -> pa.Table:
+        x = _vectors(table)
+        centre = x.mean(axis=0)
+        radius = np.sqrt(((x - centre) ** 2).sum(axis=1)).max()
+        return pa.table({"label": table.column("label").slice(0, 1), "block": table.column("block").slice(0, 1),
+                         "centre": pa.array([centre.tolist()]), "radius": [float(radius)]})
+
+    balls = checkpointed(placed.groupBy("label", "block").applyInArrow(
+        ball, "label string, block long, centre array<double>, radius double"))
+    other = balls.select("label", F.col("block").alias("hi"), F.col("centre").alias("_c"), F.col("radius").alias("_r"))
+    square = F.aggregate(F.zip_with("centre", "_c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    # Unit vectors with this cosine are so far apart; a little more covers rounding.
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
+    return balls.join(other, "label").filter("block <= hi").filter(
+        (F.col("block") == F.col("hi")) | (F.sqrt(square) <= F.col("radius") + F.col("_r") + reach)).select(
+        "label", F.col("block").alias("lo"), "hi")
+
+
+def connected(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the rows and the columns of links, the first column that each one reaches; the number of columns if none."""
+    rows, columns = np.full(hit.shape[0], hit.shape[1]), np.arange(hit.shape[1])
+    some, far = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+    links = hit[np.ix_(some, far)]
+    if not links.size:
+        return rows, columns
+    ours = columns[far]
+    while True:
+        least = np.where(links, ours, hit.shape[1]).min(axis=1)
+        now = np.minimum(ours, np.where(links, least[:, None], hit.shape[1]).min(axis=0))
+        if (now == ours).all():
+            break
+        ours = now
+    rows[some], columns[far] = least, ours
+    return rows, columns
+
+
+def _links(placed: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(rep, links, other): the links of a vector in a pair of blocks, or an edge to another vector.
+
+    The edges connect the same vectors as all links do.
+    """
+    sides = pairs.select("label", F.col("lo").alias("block"), "lo", "hi").unionByName(
+        pairs.filter("lo <> hi").select("label", F.col("hi").alias("block"), "lo", "hi"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        at, lo, hi = (table.column(c).to_numpy() for c in ("block", "lo", "hi"))
+        rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
+        x = _vectors(table)
+        left, right = np.flatnonzero(at == lo), np.flatnonzero(at == hi)
+        links, a, b = np.zeros(len(rep), np.int64), [], []
+        for s in range(0, len(left), 512):
+            rows = left[s:s + 512]
+            hit = linked(x[rows], x[right], threshold)
+            if lo[0] == hi[0]:
+                hit &= rows[:, None] != right[None, :]
+            else:
+                links[right] += copies[rows] @ hit
+            if not hit.any():
+                continue
+            links[rows] += hit @ copies[right]
+            for mine, first in zip((rows, right), connected(hit), strict=True):
+                used = np.flatnonzero(first < len(right))
+                to = rep[right[first[used]]]
+                moved = rep[mine[used]] != to
+                a.append(rep[mine[used]][moved])
+                b.append(to[moved])
+        some = np.flatnonzero(links)
+        ends = np.concatenate([np.zeros(0, np.int64), *a])
+        others = np.concatenate([np.zeros(0, np.int64), *b])
+        return pa.table({
+            "rep": np.concatenate([rep[some], ends]),
+            "links": pa.array([*links[some].tolist(), *[None] * len(ends)], pa.int64()),
+            "other": pa.array([*[None] * len(some), *others.tolist()], pa.int64())})
+
+    return placed.join(sides, ["label", "block"]).groupBy("label", "lo", "hi").applyInArrow(
+        compare, "rep long, links long, other long")
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-                    threshold: float = 0.98, miss: float = 1e-6, most_passes: int = 64, window: int = 512,
+                    threshold: float = 0.98, miss: float = 1e-6, most_passes: int | None = None, window: int = 512,
                     block: int = 2048, sample: int = 256, seed: int = 7) -> DataFrame:
     """(id, n_links, component_id, kept), one row per input row.
 
@@ -313,11 +433,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     dimensions. A null label or id, and a vector that is null, empty, zero, or holds null or
     non-finite components, links with nothing: no links, its own component, kept. Equal
     vectors are compared once and count as linked to each other; rows that repeat an id are
-    vectors of their own with that id. The id must be an integer. Links inside a component
-    are complete; a link between two components is missed only if its vectors are further
-    apart than ``window`` in every pass. A label is given the passes after which that befalls a
-    share ``miss`` of pairs at the threshold, as rated from its size and about ``sample`` of its
-    rows (``passes_for``), but ``most_passes`` at most; a label within the window needs one.
+    vectors of their own with that id. The id must be an integer. No link is left out; the work
+    on a label grows with the pairs of its blocks whose balls come near each other.
+
+    With ``most_passes`` the search goes by passes: links inside a component are complete, but
+    a link between two components is missed if its vectors are further apart than ``window`` in
+    every pass. A label is given the passes after which that befalls a share ``miss`` of pairs at
+    the threshold, as rated from its size and about ``sample`` of its rows (``passes_for``), but
+    ``most_passes`` at most; a label within the window needs one.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("string").alias("_label"),
@@ -328,19 +451,27 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # A number per distinct vector: two of them can have the same smallest id, if rows repeat ids.
     distinct = checkpointed(rows.filter("_good").groupBy("_label", "_vec").agg(
         F.min("_id").alias("id"), F.count(F.lit(1)).alias("copies")).withColumn("rep", F.monotonically_increasing_id()))
-    labelled = distinct.select(F.concat_ws("/", "_label", F.size("_vec").cast("string")).alias("label"), "rep",
+    labelled = distinct.select(F.concat_ws("/", "_label", F.size("_vec").cast("string")).alias("label"), "rep", "copies",
                                F.col("_vec").alias("vec"))
-    plans = checkpointed(_plans(labelled, window, threshold, miss, most_passes, sample, seed))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = checkpointed(_neighbours(_signed(labelled.join(plans, "label"), seed), partitions, window, threshold))
-    edges = found.filter("kind = 0").select("a", "b").unionByName(_across_borders(found, window, threshold))
+    if most_passes is None:
+        placed = _blocks(labelled, block, seed)
+        found = checkpointed(_links(placed, _block_pairs(placed, threshold), threshold))
+        edges = found.filter("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b"))
+    else:
+        plans = checkpointed(_plans(labelled, window, threshold, miss, most_passes, sample, seed))
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        found = checkpointed(_neighbours(_signed(labelled.join(plans, "label"), seed), partitions, window, threshold))
+        edges = found.filter("kind = 0").select("a", "b").unionByName(_across_borders(found, window, threshold))
     roots = component_roots(edges, []).select(F.col("node").alias("rep"), "root")
     roots = roots.unionByName(roots.select(F.col("root").alias("rep"), "root")).distinct()
     members = checkpointed(distinct.select("rep", "id", "copies", F.col("_vec").alias("vec")).join(roots, "rep"))
     smallest = members.groupBy("root").agg(F.min("id").alias("_least"))
-    placed = members.select("rep", "root").join(smallest, "root").select("rep", "_least")
-    results = distinct.join(placed, "rep", "left").join(
-        _counted(members.drop("id"), threshold, block), "rep", "left").select(
+    least = members.select("rep", "root").join(smallest, "root").select("rep", "_least")
+    if most_passes is None:
+        counted = found.filter("links IS NOT NULL").groupBy("rep").agg(F.sum("links").alias("links"))
+    else:
+        counted = _counted(members.drop("id"), threshold, block)
+    results = distinct.join(least, "rep", "left").join(counted, "rep", "left").select(
         F.col("_label").alias("_l"), F.col("_vec").alias("_v"), F.coalesce("_least", "id").alias("_root"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"))
     match = (F.col("_label") == F.col("_l")) & (F.col("_vec") == F.col("_v"))
