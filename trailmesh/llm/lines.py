@@ -345,23 +345,44 @@ def _removed(runs: DataFrame, positions: DataFrame, least_words: int) -> DataFra
     rows = positions.select("doc", "body", "p", "q", "words").join(
         runs.select("doc", "body", "p", "run"), ["doc", "body", "p"], "left")
 
-    def cover(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("p")
-        p, run = rows.column("p").to_numpy(), rows.column("run").fill_null(0).to_numpy()
-        total = np.concatenate([[0], np.cumsum(rows.column("words").to_numpy())])
-        at = np.arange(len(p))
+    def cover(table: pa.Table) -> pa.RecordBatch:
+        doc, body, words = (table.column(c).to_numpy() for c in ("doc", "body", "words"))
+        run = table.column("run").fill_null(0).to_numpy()
+        total = np.concatenate([[0], np.cumsum(words)])
+        at = np.arange(len(run))
         long_enough = (run > 0) & (total[at + run] - total[at] >= least_words)
-        change = np.zeros(len(p) + 1, np.int64)
+        # A run ends within its document, so nothing is carried into the next one.
+        change = np.zeros(len(run) + 1, np.int64)
         np.add.at(change, at[long_enough], 1)
         np.add.at(change, (at + run)[long_enough], -1)
-        gone = rows.column("q").to_numpy()[np.cumsum(change[:-1]) > 0]
-        if not len(gone):
-            return pa.table({"doc": pa.array([], pa.int64()), "body": pa.array([], pa.int64()),
-                             "removed": pa.array([], pa.list_(pa.int32()))})
-        return pa.table({"doc": rows.column("doc")[:1], "body": rows.column("body")[:1],
-                         "removed": pa.array([gone.astype(np.int32)], pa.list_(pa.int32()))})
-
-    return rows.groupBy("doc", "body").applyInArrow(cover, "doc long, body long, removed array<int>")
+        gone = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+        new = np.ones(len(gone), bool)
+        new[1:] = (doc[gone[1:]] != doc[gone[:-1]]) | (body[gone[1:]] != body[gone[:-1]])
+        first = np.flatnonzero(new)
+        lines = pa.array(table.column("q").to_numpy()[gone].astype(np.int32))
+        removed = pa.ListArray.from_arrays(pa.array(np.append(first, len(gone)).astype(np.int32)), lines)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc[gone[first]]), pa.array(body[gone[first]]), removed], names=["doc", "body", "removed"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= 20_000:
+                table = pa.Table.from_batches(held)
+                doc, body = table.column("doc").to_numpy(), table.column("body").to_numpy()
+                # The last document may go on in the next batch.
+                cut = int(np.argmax((doc == doc[-1]) & (body == body[-1])))
+                if cut:
+                    yield cover(table[:cut])
+                    held = table[cut:].to_batches()
+        if held:
+            yield cover(pa.Table.from_batches(held))
+
+    # A document's lines follow each other in a sorted stream.
+    ordered = rows.select("doc", "body", "p", "q", "words", "run").repartition("doc", "body").sortWithinPartitions("doc", "body", "p")
+    return ordered.mapInArrow(work, "doc long, body long, removed array<int>")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 10) -> DataFrame:
