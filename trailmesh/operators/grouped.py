@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 
 
@@ -37,3 +38,33 @@ def stream_groups(groups: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFra
             yield fn(pd.concat(held, ignore_index=True))
 
     return run
+
+
+def whole_groups(groups: Sequence[str], fn: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]):
+    """A ``mapInPandas`` function that calls ``fn(rows, first)`` for all groups that end in a batch at once.
+
+    ``first`` is the number of the row at which a row's group starts. The partition must be
+    sorted by ``groups``, and groups be bounded, as above; small ones cost no call each.
+    """
+    groups = list(groups)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            new = np.ones(len(rows), dtype=bool)
+            new[1:] = False
+            for g in groups:
+                names = rows[g].to_numpy()
+                new[1:] |= names[1:] != names[:-1]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+            last = int(first[-1])
+            held = rows.iloc[last:]
+            if last:
+                yield fn(rows.iloc[:last], first[:last])
+        if held is not None:
+            yield fn(held.reset_index(drop=True), np.zeros(len(held), dtype=np.int64))
+
+    return run

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from pyspark.sql import types as T
 
 from trailmesh.operators.graph import component_roots
 from trailmesh.operators.grid import CELL
-from trailmesh.operators.grouped import stream_groups
-from trailmesh.session import checkpointed
+from trailmesh.operators.grouped import whole_groups
+from trailmesh.session import checkpointed, dealt
 
 TILE = 1024
 # Label = tile column, tile row and number within the tile, packed into one long.
@@ -52,8 +53,11 @@ def cut_at_tiles(runs: DataFrame) -> DataFrame:
     })
 
 
-def _sweep(y: list[int], x0: list[int], x1: list[int], slack: int) -> list[int]:
-    """Labels of runs sorted by (y, x0): runs of neighbouring rows that touch share one."""
+def _sweep(y: list[int], x0: list[int], x1: list[int], slack: int, first: list[int]) -> list[int]:
+    """Labels of runs sorted by (tile, y, x0): runs of neighbouring rows of a tile that touch share one.
+
+    ``first`` is where the tile of a run starts; labels count from there.
+    """
     parent = list(range(len(y)))
 
     def find(i: int) -> int:
@@ -64,6 +68,7 @@ def _sweep(y: list[int], x0: list[int], x1: list[int], slack: int) -> list[int]:
 
     below = 0
     for i in range(len(y)):
+        below = max(below, first[i])
         while below < i and (y[below] < y[i] - 1 or (y[below] == y[i] - 1 and x1[below] < x0[i] - slack)):
             below += 1
         j = below
@@ -71,19 +76,19 @@ def _sweep(y: list[int], x0: list[int], x1: list[int], slack: int) -> list[int]:
             a, b = find(i), find(j)
             parent[max(a, b)] = min(a, b)
             j += 1
-    return [find(i) for i in range(len(y))]
+    return [find(i) - first[i] for i in range(len(y))]
 
 
 def _label_tiles(groups: Sequence[str], slack: int):
-    """Sweep each tile of a partition sorted by (groups, y, x0)."""
+    """Sweep the tiles of a partition sorted by (groups, y, x0)."""
 
-    def label(tile: pd.DataFrame) -> pd.DataFrame:
-        local = _sweep(tile["y"].tolist(), tile["x0"].tolist(), tile["x1"].tolist(), slack)
-        tx, ty = int(tile["tx"].iloc[0]), int(tile["ty"].iloc[0])
+    def label(tiles: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        local = _sweep(tiles["y"].tolist(), tiles["x0"].tolist(), tiles["x1"].tolist(), slack, first.tolist())
+        tx, ty = tiles["tx"].to_numpy(dtype=np.int64), tiles["ty"].to_numpy(dtype=np.int64)
         base = ((tx + _TILE_SHIFT // 2) * _TILE_SHIFT + ty + _TILE_SHIFT // 2) * _LOCAL_SHIFT
-        return tile.assign(label=[base + v for v in local])
+        return tiles.assign(label=base + np.array(local, dtype=np.int64))
 
-    return stream_groups(groups, label)
+    return whole_groups(groups, label)
 
 
 def label_runs(runs: DataFrame, keys: Sequence[str], diagonal: bool) -> DataFrame:
@@ -98,7 +103,7 @@ def label_runs(runs: DataFrame, keys: Sequence[str], diagonal: bool) -> DataFram
     pieces = cut_at_tiles(runs.select(*keys, "y", "x0", "x1"))
     schema = T.StructType([*pieces.schema.fields, T.StructField("label", T.LongType())])
     labelled = checkpointed(
-        pieces.repartition(*groups).sortWithinPartitions(*groups, "y", "x0").mapInPandas(
+        dealt(pieces, *groups).sortWithinPartitions(*groups, "y", "x0").mapInPandas(
             _label_tiles(groups, slack), schema
         )
     )
