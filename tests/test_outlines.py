@@ -3,7 +3,7 @@ import random
 import pytest
 
 from tests.shapes import perimeter, rectangle
-from trailmesh.operators import outlines
+from trailmesh.operators import graph, outlines
 
 STEP = [(1, 0), (0, 1), (-1, 0), (0, -1)]
 
@@ -102,3 +102,21 @@ def test_long_ring_and_nothing(spark):
     assert polygons_of(spark, [comb]) == [brute_polygons(comb, 0)]
     empty = spark.createDataFrame([], "owner_id int, cell_x int, cell_y int")
     assert outlines.polygon_corners(empty, ["owner_id"]).count() == 0
+
+
+def test_pieces_of_rings_over_any_tiles(spark, monkeypatch):
+    """Rings cut by many tile borders are those of one tile; these need no rounds."""
+    rng = random.Random(3)
+    dots = {(rng.randrange(-20, 20), rng.randrange(-20, 20)) for _ in range(900)}
+    cells = spark.createDataFrame([(o, x, y) for o in (1, 2) for x, y in dots], "owner_id long, cell_x int, cell_y int")
+    found = {}
+    for size in (3, 64):
+        monkeypatch.setattr(outlines, "_TILE", size)
+        found[size] = sorted(map(tuple, outlines.ring_corners(cells, ["owner_id"]).collect()))
+    assert found[3] == found[64] and found[3]
+    written = []
+    real = graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: written.append(1) or real(df))
+    comb = [(1, x, y) for x in range(1, 60) for y in range(1, 20) if x % 2 or y == 1]
+    outlines.ring_corners(spark.createDataFrame(comb, cells.schema), ["owner_id"]).collect()
+    assert len(written) == 2  # the pieces, and no row for the rounds

@@ -1,8 +1,9 @@
 """Outlines of cell sets: rings of corners in order, which ring lies in which, polygons with holes.
 
 A cell set of any size has its boundary cut into straight segments, each with one segment
-after it. Rings are the cycles of that relation; their order is found by pointer doubling,
-so the rounds grow with the logarithm of the longest ring and no ring meets in one task.
+after it. Rings are the cycles of that relation; their pieces are joined up in tiles, and the order
+of the pieces is found by pointer doubling, so the rounds grow with the logarithm of the longest
+ring and no ring meets in one task.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from trailmesh.session import checkpointed
 # A segment is numbered by where it starts and its direction; the world has under 2^23 columns and rows of cells.
 _SHIFT = 1 << 23
 _SPAN = 1 << 24
+# Columns and rows of a tile in which pieces of rings are joined up: at most two segments start per corner.
+_TILE = 512
 
 
 def _number(x: Column, y: Column, direction: Column) -> Column:
@@ -57,12 +60,13 @@ def outline_segments(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def following(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, id, next): the segment after each one. Where two start, the left turn goes first."""
+    """(keys, id, next, _tx, _ty): the segment after each one, and the tile it starts in. Where two start, the left turn goes first."""
     corner = Window.partitionBy(*keys, "from_x", "from_y")
     starts = segments.select(*keys, F.col("from_x").alias("to_x"), F.col("from_y").alias("to_y"), F.col("id").alias("next"),
                              F.col("dir").alias("_dir"), F.count(F.lit(1)).over(corner).alias("_n"))
-    met = segments.select(*keys, "id", "dir", "to_x", "to_y").join(starts, [*keys, "to_x", "to_y"])
-    return met.filter((F.col("_n") == 1) | (F.col("_dir") == (F.col("dir") + 1) % 4)).select(*keys, "id", "next")
+    tile = [F.floor(F.col(f"from_{c}") / _TILE).cast("int").alias(f"_t{c}") for c in "xy"]
+    met = segments.select(*keys, "id", "dir", "to_x", "to_y", *tile).join(starts, [*keys, "to_x", "to_y"])
+    return met.filter((F.col("_n") == 1) | (F.col("_dir") == (F.col("dir") + 1) % 4)).select(*keys, "id", "next", "_tx", "_ty")
 
 
 def ring_corners(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -73,7 +77,7 @@ def ring_corners(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     keys = list(keys)
     segments = checkpointed(outline_segments(cells, keys))
-    order = cycle_positions(following(segments, keys), keys)
+    order = cycle_positions(following(segments, keys), keys, ["_tx", "_ty"])
     return segments.join(order, [*keys, "id"]).select(
         *keys, "ring", "position", F.col("from_x").alias("x"), F.col("from_y").alias("y"), "dir", "to_x", "to_y")
 
