@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trailmesh import constants as K
 from trailmesh.functions.geo import buckets_between, haversine_m, line_distance, near_bucket
 from trailmesh.operators.clean import RECORDING, spaced_points
+from trailmesh.session import dealt
 
 # Fixed values, metres.
 CORRIDOR_M, CORRIDOR_SPACING_M = 450.0, 250.0
@@ -35,7 +36,8 @@ def streets_near(probes: DataFrame, streets: DataFrame, radius_m: float, ids: Se
     ).withColumn("_gx", F.explode(F.sequence(
         F.floor((F.col("min_lon") - F.col("_w")) / size), F.floor((F.col("max_lon") + F.col("_w")) / size))))
     d_lon = radius_m / F.greatest(F.lit(1.0), K.METERS_PER_DEGREE * F.cos(F.radians("lat")))
-    return spots.join(placed, ["_gy", "_gx"]).filter(
+    # A bucket's streets and probes are few rows but many pairs.
+    return spots.join(dealt(placed, "_gy", "_gx"), ["_gy", "_gx"]).filter(
         (F.col("max_lat") >= F.col("lat") - pad) & (F.col("min_lat") <= F.col("lat") + pad)
         & (F.col("max_lon") >= F.col("lon") - d_lon) & (F.col("min_lon") <= F.col("lon") + d_lon)
     ).select(*ids, "segment_id", "fetched_at")
@@ -103,5 +105,5 @@ def within_corridors(spots: DataFrame, lines: DataFrame, radius_m: float, ids: S
     flat = line_distance(F.lit(0.0), F.lit(0.0), east("from_lon"), north("from_lat"), east("to_lon"), north("to_lat"))
     lone = (F.col("from_lat") == F.col("to_lat")) & (F.col("from_lon") == F.col("to_lon"))
     metres = F.when(lone, haversine_m("lat", "lon", "from_lat", "from_lon")).otherwise(flat)
-    near = here.join(placed, ["_gy", "_gx"]).groupBy(*ids).agg(F.min(metres).alias("distance_m"))
+    near = dealt(here, "_gy", "_gx").join(placed, ["_gy", "_gx"]).groupBy(*ids).agg(F.min(metres).alias("distance_m"))
     return near.filter(F.col("distance_m") <= radius_m)
