@@ -33,11 +33,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines are cut out; a document that consists of them goes."""
-    # The columns travel inside a struct: any of them may be called like those that are added.
-    cleaned = lines.without_repeated_lines(docs.select("doc_id", "text", F.struct("*").alias("_row")))
+    # The other columns travel inside a struct: any of them may be called like those that are added.
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    cleaned = lines.without_repeated_lines(docs.select("doc_id", "text", F.struct(*others).alias("_row")))
     changed = F.col("n_removed") > 0
     kept = cleaned.filter(~F.coalesce(changed & (F.col("text") == ""), F.lit(False)))
-    new = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("_row.n_chars"))}
+    new = {"doc_id": F.col("doc_id"), "text": F.col("text"),
+           "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("_row.n_chars"))}
     return kept.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
