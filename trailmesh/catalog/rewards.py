@@ -9,6 +9,7 @@ from trailmesh.catalog.registry import query
 from trailmesh.catalog.streets import COVER, coverage
 from trailmesh.catalog.zones import ZCTE
 from trailmesh.operators import paths, rewards, streets, zones
+from trailmesh.session import checkpointed
 
 R = ["owner_id", "session_id"]
 
@@ -103,9 +104,10 @@ def _(d):
     return rewards.daily_tasks(asked, carry=["k"]).select("k", "slot", "kind", "target")
 
 
-def tasks(d, kind: str | None = None):
+def tasks(d, cells=None):
     """Three accepted tasks per walker and district that their cells touch."""
-    pairs = zones.cells_in_zones(walked(d).select("owner_id", "cell_x", "cell_y").distinct(), d.zones).select(
+    cells = walked(d) if cells is None else cells
+    pairs = zones.cells_in_zones(cells.select("owner_id", "cell_x", "cell_y").distinct(), d.zones).select(
         "owner_id", F.col("zone_id").alias("district_id")).distinct()
     kinds = F.array(*[F.lit(x) for x in ("explore_cells", "complete_street", "collect_medal", "close_loop")])
     t = pairs.select("*", F.posexplode(kinds).alias("slot", "kind"))
@@ -116,9 +118,10 @@ def tasks(d, kind: str | None = None):
         F.lit(None).cast("timestamp").alias("abandoned_at"), F.lit(None).cast("timestamp").alias("completed_at"))
 
 
-def evidence(d):
+def evidence(d, listed=None):
+    listed = tasks(d) if listed is None else listed
     return d.sessions.filter("session_id % 2 = 1").join(
-        tasks(d).filter("kind = 'close_loop'").select(F.col("id").alias("expedition_id"), "owner_id"), "owner_id").select(
+        listed.filter("kind = 'close_loop'").select(F.col("id").alias("expedition_id"), "owner_id"), "owner_id").select(
         "expedition_id", *R, F.col("started_at").alias("detected_at"))
 
 
@@ -155,7 +158,11 @@ LEFT JOIN meas m ON m.owner_id = p.owner_id AND m.zone_id = p.zone_id AND m.kind
 
 
 def progress(d):
-    return rewards.task_progress(tasks(d), d.zones, walked(d), d.sessions, states(d), d.streets, events(d), d.medals, evidence(d))
+    """Cells, tasks and progress are written once, since each is read more than once."""
+    cells = checkpointed(walked(d))
+    listed = checkpointed(tasks(d, cells))
+    return checkpointed(rewards.task_progress(
+        listed, d.zones, cells, d.sessions, states(d), d.streets, events(d), d.medals, evidence(d, listed)))
 
 
 @query("rew3_task_progress", "SELECT owner_id, district_id, kind, progress FROM tk", TASKS)
