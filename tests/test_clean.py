@@ -1,6 +1,8 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from tests.shapes import fixes
 from trailmesh.operators import clean, paths
 
@@ -97,3 +99,19 @@ def test_order_of_arrival_does_not_matter(spark):
     first = {r.ts for r in clean.canonical_points(fixes(spark, rows)).collect()}
     rng.shuffle(rows)
     assert {r.ts for r in clean.canonical_points(fixes(spark, rows)).collect()} == first
+
+
+def later(df, *columns):
+    """The same rows 1700 years on, where nanoseconds since 1970 do not fit into 64 bits."""
+    return df.withColumns({c: F.col(c) + F.expr("INTERVAL 1700 YEARS") for c in columns})
+
+
+def test_fold_takes_times_of_any_year(spark):
+    obs = fixes(spark, noisy(random.Random(3), 60, 1)).withColumn(
+        "seen", F.when(F.col("arrival") % 2 == 0, F.col("ts")))
+    fields = ["session_id", "arrival", "accepted", "verdict", "speed_mps", "point_index"]
+    now = clean.accept_fixes(obs, slice_seconds=20)
+    then = clean.accept_fixes(later(obs, "ts", "seen"), slice_seconds=20)
+    assert sorted(map(str, now.select(*fields).collect())) == sorted(map(str, then.select(*fields).collect()))
+    moved = sorted(map(str, later(now, "ts", "seen").select("arrival", "ts", "seen").collect()))
+    assert moved == sorted(map(str, then.select("arrival", "ts", "seen").collect()))

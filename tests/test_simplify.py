@@ -58,3 +58,13 @@ def test_spacing_keeps_first_far_and_last(spark):
     assert sorted(r.point_index for r in clean.spaced_points(points, 95.0).collect()) == want
     sliced = clean.spaced_points(points, 95.0, slice_seconds=4)
     assert sorted(r.point_index for r in sliced.collect()) == want
+
+
+def test_times_of_any_year_pass(spark):
+    from pyspark.sql import functions as F
+
+    points = indexed(spark, wobbly(60)).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1700 YEARS"))
+    lines = simplify.simplify_lines(points, F.lit(4.0)).join(points.select("point_index", F.col("ts").alias("was")), "point_index")
+    assert lines.filter("ts = was").count() == lines.count() > 1
+    chunks = points.withColumns({"run_no": F.lit(0), "chunk_no": F.lit(0)})
+    assert simplify.simplify_chunks(chunks, 4.0).filter("ts > '3000-01-01'").count() == lines.count()

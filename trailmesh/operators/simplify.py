@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trailmesh import constants as K
 from trailmesh.functions.geo import haversine_m, line_distance
 from trailmesh.operators.clean import RECORDING
-from trailmesh.operators.grouped import stream_groups
+from trailmesh.operators.grouped import map_any_time, stream_groups
 from trailmesh.operators.ordered import time_slice, with_running
 from trailmesh.session import checkpointed
 
@@ -63,8 +63,8 @@ def simplify_chunks(chunks: DataFrame, tolerance_m: float, keys: Sequence[str] =
     """Simplified route chunks; a chunk has at most 256 vertices."""
     groups = list(keys)
     rows = chunks.withColumn("_tol", F.lit(float(tolerance_m)))
-    return rows.repartition(*groups).sortWithinPartitions(*groups, "point_index").mapInPandas(
-        stream_groups(groups, _finish), rows.schema).drop("_tol")
+    ordered = rows.repartition(*groups).sortWithinPartitions(*groups, "point_index")
+    return map_any_time(ordered, stream_groups(groups, _finish), rows.schema).drop("_tol")
 
 
 def simplify_lines(points: DataFrame, tolerance: Column, keys: Sequence[str] = RECORDING, in_task: int = IN_TASK) -> DataFrame:
@@ -117,8 +117,8 @@ def simplify_lines(points: DataFrame, tolerance: Column, keys: Sequence[str] = R
         fixed = ranged.unionByName(starts).dropDuplicates([*keys, "_a", "point_index"])
     rows = ranged if fixed is None else fixed
     groups = [*keys, "_a"]
-    done = rows.repartition(*groups).sortWithinPartitions(*groups, "point_index").mapInPandas(
-        stream_groups(groups, _finish), rows.schema)
+    ordered = rows.repartition(*groups).sortWithinPartitions(*groups, "point_index")
+    done = map_any_time(ordered, stream_groups(groups, _finish), rows.schema)
     result = done.select(*points.columns)
     return result if fixed is None else result.dropDuplicates([*keys, "point_index"])
 

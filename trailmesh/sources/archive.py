@@ -7,10 +7,12 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trailmesh import constants as K
 from trailmesh.functions.text import month_label
 from trailmesh.operators.clean import RECORDING
+from trailmesh.operators.grouped import map_any_time
 from trailmesh.operators.ordered import with_previous, with_running
 from trailmesh.operators.sessions import is_final, finalized
 
@@ -59,8 +61,8 @@ def block_plans(recordings: DataFrame) -> DataFrame:
         F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("label"), "points")
     old = recordings.join(hot.select(*RECORDING), list(RECORDING), "left_anti").select(
         *RECORDING, month_label(F.col("started_at")).alias("month"), F.col("points").cast("long").alias("points"), "started_at")
-    packed = old.repartition("owner_id", "month").sortWithinPartitions(
-        "owner_id", "month", "started_at", "session_id").mapInPandas(_pack, PLAN)
+    ordered = old.repartition("owner_id", "month").sortWithinPartitions("owner_id", "month", "started_at", "session_id")
+    packed = map_any_time(ordered, _pack, StructType.fromDDL(PLAN))
     archived = packed.select(
         *RECORDING,
         F.concat(F.lit("archive-"), F.col("month"), F.lit("-"), F.lpad(F.col("part").cast("string"), 2, "0")).alias("block_id"),
