@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmesh import constants as K
-from trailmesh.functions.geo import buckets_between, haversine_m, line_distance, near_bucket
+from trailmesh.functions.geo import buckets_between, haversine_m, line_progress, near_bucket
 from trailmesh.operators.clean import RECORDING, spaced_points
 from trailmesh.session import dealt
 
@@ -86,24 +86,33 @@ def corridor_lines(points: DataFrame, spacing_m: float = REPAIR_SPACING_M, keys:
 def within_corridors(spots: DataFrame, lines: DataFrame, radius_m: float, ids: Sequence[str]) -> DataFrame:
     """Spots at most ``radius_m`` from any corridor line, with the distance to the nearest."""
     ids = list(ids)
-    pad = radius_m / K.METERS_PER_DEGREE
+    # Great circles, which lone centres use, are 0.1 % shorter than planar metres.
+    pad = radius_m * 1.002 / K.METERS_PER_DEGREE
     size = max(0.002, 2 * pad)
-    here = spots.select(*ids, "lat", "lon", near_bucket("lat", size).alias("_gy"), near_bucket("lon", size).alias("_gx"))
+    here = spots.select(
+        *ids, "lat", "lon", F.greatest(F.lit(1.0), K.METERS_PER_DEGREE * F.cos(F.radians("lat"))).alias("_scale"),
+        near_bucket("lat", size).alias("_gy"), near_bucket("lon", size).alias("_gx"))
+    south, north = F.least("from_lat", "to_lat"), F.greatest("from_lat", "to_lat")
+    west, east = F.least("from_lon", "to_lon"), F.greatest("from_lon", "to_lon")
     placed = lines.select("from_lat", "from_lon", "to_lat", "to_lon").distinct().select(
-        "*", _wide(pad, "from_lat", "to_lat").alias("_w"),
-        F.explode(buckets_between(F.least("from_lat", "to_lat"), F.greatest("from_lat", "to_lat"), size, pad)).alias("_gy"),
-    ).withColumn("_gx", F.explode(F.sequence(
-        F.floor((F.least("from_lon", "to_lon") - F.col("_w")) / size), F.floor((F.greatest("from_lon", "to_lon") + F.col("_w")) / size))))
-    scale = F.greatest(F.lit(1.0), K.METERS_PER_DEGREE * F.cos(F.radians("lat")))
-
-    def east(c: str) -> Column:
-        return (F.col(c) - F.col("lon")) * scale
-
-    def north(c: str) -> Column:
-        return (F.col(c) - F.col("lat")) * K.METERS_PER_DEGREE
-
-    flat = line_distance(F.lit(0.0), F.lit(0.0), east("from_lon"), north("from_lat"), east("to_lon"), north("to_lat"))
-    lone = (F.col("from_lat") == F.col("to_lat")) & (F.col("from_lon") == F.col("to_lon"))
-    metres = F.when(lone, haversine_m("lat", "lon", "from_lat", "from_lon")).otherwise(flat)
-    near = dealt(here, "_gy", "_gx").join(placed, ["_gy", "_gx"]).groupBy(*ids).agg(F.min(metres).alias("distance_m"))
+        "*", _wide(pad, "from_lat", "to_lat").alias("_w"), F.explode(buckets_between(south, north, size, pad)).alias("_gy"),
+    ).select(
+        "from_lat", "from_lon", "to_lat", "to_lon", (south - pad).alias("_south"), (north + pad).alias("_north"),
+        (west - F.col("_w")).alias("_west"), (east + F.col("_w")).alias("_east"), "_gy",
+        F.explode(F.sequence(F.floor((west - F.col("_w")) / size), F.floor((east + F.col("_w")) / size))).alias("_gx"))
+    # Most pairs of a bucket are too far apart: four comparisons keep them from the costly measure.
+    met = dealt(here, "_gy", "_gx").join(placed, ["_gy", "_gx"]).filter(
+        F.col("lat").between(F.col("_south"), F.col("_north")) & F.col("lon").between(F.col("_west"), F.col("_east")))
+    flat = met.select(
+        *ids, "lat", "lon", "from_lat", "from_lon",
+        ((F.col("from_lat") == F.col("to_lat")) & (F.col("from_lon") == F.col("to_lon"))).alias("_lone"),
+        ((F.col("from_lon") - F.col("lon")) * F.col("_scale")).alias("_ax"),
+        ((F.col("from_lat") - F.col("lat")) * K.METERS_PER_DEGREE).alias("_ay"),
+        ((F.col("to_lon") - F.col("lon")) * F.col("_scale")).alias("_bx"),
+        ((F.col("to_lat") - F.col("lat")) * K.METERS_PER_DEGREE).alias("_by"))
+    origin = F.lit(0.0)
+    metres = F.when(F.col("_lone"), haversine_m("lat", "lon", "from_lat", "from_lon")).otherwise(F.hypot(
+        F.col("_ax") + F.col("_t") * (F.col("_bx") - F.col("_ax")), F.col("_ay") + F.col("_t") * (F.col("_by") - F.col("_ay"))))
+    near = flat.withColumn("_t", line_progress(origin, origin, "_ax", "_ay", "_bx", "_by")).groupBy(*ids).agg(
+        F.min(metres).alias("distance_m"))
     return near.filter(F.col("distance_m") <= radius_m)
