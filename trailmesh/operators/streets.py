@@ -16,7 +16,7 @@ from trailmesh.functions.geo import (
 from trailmesh.functions.text import street_of_part
 from trailmesh.operators.clean import RECORDING
 from trailmesh.operators.ordered import with_running
-from trailmesh.session import dealt
+from trailmesh.session import checkpointed, dealt
 
 # Distances that differ by less than this count as equal, so that rounding never picks the street.
 _TIE_DIGITS = 6
@@ -116,16 +116,22 @@ def part_lines(parts: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- coverage
 
+def _in_shares(bucketed: DataFrame, crowded: DataFrame, share: Column) -> DataFrame:
+    """Adds ``_salt``, the share of its bucket that a row belongs to; a bucket that is not ``crowded`` has one."""
+    return bucketed.join(crowded, ["_band", "_bx", "_by"], "left").withColumn(
+        "_shares", F.coalesce("_shares", F.lit(1))).withColumn("_salt", share).drop("_shares")
+
+
 def street_coverage(
-    route_lines: DataFrame, streets: DataFrame, keys: Sequence[str] = RECORDING, salts: int = 8
+    route_lines: DataFrame, streets: DataFrame, keys: Sequence[str] = RECORDING, together: int = 100_000
 ) -> DataFrame:
     """Bins of street parts that each recording has walked.
 
     Every route line is sampled each 3 m; a sample counts for the nearest street line
     within 12 m and 50 degrees in either direction. Samples and street lines meet by
-    20 m bucket. A busy square can hold a large share of all samples, so samples are
-    salted by recording and the short street list is repeated per salt. The best line
-    of a sample is found inside the join partition, without another shuffle.
+    20 m bucket. A busy square can hold a large share of all samples, so a bucket with more
+    than ``together`` of them is dealt out in shares, and its short street list is repeated per
+    share. The best line of a sample is found inside the join partition, without another shuffle.
     """
     keys = list(keys)
     dx, dy = planar_x(F.col("to_lon") - F.col("from_lon"), band_latitude(latitude_band("from_lat"))), planar_y(
@@ -146,16 +152,20 @@ def street_coverage(
         *keys, "step_no", "_i", "_band", (F.col("_rx") / size).alias("_ux"), (F.col("_ry") / size).alias("_uy"),
         (F.col("_fx") + F.col("_rx") * share).alias("_x"), (F.col("_fy") + F.col("_ry") * share).alias("_y"),
     ).select(
-        "*", near_bucket("_x", K.STREET_BUCKET_M).alias("_bx"), near_bucket("_y", K.STREET_BUCKET_M).alias("_by"),
-        F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int").alias("_salt"))
-    # A part is a small row, but gives many with its bands, buckets and salts.
+        "*", near_bucket("_x", K.STREET_BUCKET_M).alias("_bx"), near_bucket("_y", K.STREET_BUCKET_M).alias("_by"))
+    # Read to count the buckets and again to match.
+    samples = checkpointed(samples)
+    crowded = checkpointed(samples.groupBy("_band", "_bx", "_by").agg(F.count(F.lit(1)).alias("_all")).filter(
+        F.col("_all") > together).select("_band", "_bx", "_by", F.ceil(F.col("_all") / together).cast("int").alias("_shares")))
+    samples = _in_shares(samples, crowded, F.pmod(F.xxhash64(*keys, "step_no"), F.col("_shares")).cast("int"))
+    # A part is a small row, but gives many with its bands and buckets.
     lines = part_lines(dealt(measured_parts(streets), "segment_id"))
     pad = K.STREET_MATCH_M
     placed = lines.select(
         "*", F.explode(buckets_between(F.least("ax", "bx"), F.greatest("ax", "bx"), K.STREET_BUCKET_M, pad)).alias("_bx"),
     ).select(
-        "*", F.explode(buckets_between(F.least("ay", "by"), F.greatest("ay", "by"), K.STREET_BUCKET_M, pad)).alias("_by"),
-    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+        "*", F.explode(buckets_between(F.least("ay", "by"), F.greatest("ay", "by"), K.STREET_BUCKET_M, pad)).alias("_by"))
+    placed = _in_shares(placed, crowded, F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
     cosine = F.abs(F.col("_ux") * (F.col("bx") - F.col("ax")) / F.col("len")
                    + F.col("_uy") * (F.col("by") - F.col("ay")) / F.col("len"))
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
